@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, secrets
+from . import language, mixing, pieces, quality, secrets
 from .sql import ORACLE_SQL
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_mixing": mixing.op5_mixing,
+    "op6_language_id": language.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 
