@@ -49,3 +49,30 @@ def words_of(text: Column) -> Column:
     """The words ``[^ws]+`` of a text as an array (none: the empty array)."""
     trimmed = F.btrim(text, F.lit(WS_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WS}]+", -1))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context, as
+    spark-submit's --py-files would: they may not share the driver's path."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_linkspark_sent", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    at = os.path.join(tempfile.mkdtemp(prefix="spark-code-"), "linkspark_code.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(at)
+    sc._linkspark_sent = True
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_batches, text_of
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 600_000
 ORDER = 5
@@ -305,7 +305,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 said = list(zip(*scorer.predict(part.column(2).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, kind) for x, kind in zip(said, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=["k", "held_out", "lang_pred", "score", "accepted"])
 
-    return only.mapInArrow(run, f"k {dict(only.dtypes)['k']}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("k", key)
+    return map_batches(only, run, f"k {dict(only.dtypes)['k']}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("k", key)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_batches, text_of
 
 SPACE = "▁"
 #: Words remembered by a Python worker (some 100 MB).
@@ -222,7 +222,7 @@ def _mapped(docs: DataFrame, model_path: str, key: str, text: str, schema: str,
     only = docs.select(F.col(key).alias("k"), text_of(docs, text).alias("t"))
     kind = dict(only.dtypes)["k"]
     names = ["k", *[x.split()[0] for x in schema.split(", ")]]
-    return only.mapInArrow(run, f"k {kind}, {schema}").withColumnRenamed("k", key)
+    return map_batches(only, run, f"k {kind}, {schema}").withColumnRenamed("k", key)
 
 
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,7 +251,7 @@ def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["k", "text"])
 
     only = encoded.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
-    return only.mapInArrow(run, f"k {dict(only.dtypes)['k']}, text string").withColumnRenamed("k", key)
+    return map_batches(only, run, f"k {dict(only.dtypes)['k']}, text string").withColumnRenamed("k", key)
 
 
 def round_trip(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pieces, quality, secrets
+from . import language, mixing, neardup, pieces, quality, secrets
 from .sql import ORACLE_SQL
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_language_id": language.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op10_near_dedup": neardup.op10_near_dedup,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
