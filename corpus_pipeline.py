@@ -1,11 +1,71 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each one of the operators of linkspark.llm.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a frame, which the caller may write
+and read again before the next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkspark.llm import language, mixing, neardup, pieces, secrets
+from linkspark.llm.common import shared_dir
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: rejected documents, and those without a letter, go."""
+    found = language.predict(docs, language.train(docs), keep=True)
+    return found.where("accepted").select("row.*")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group the document with the smallest id stays."""
+    return neardup.first_of_each(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every secret is masked in its text, and n_chars follows."""
+    masked = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(masked.schema["n_chars"].dataType)))
+
+
+def by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding and decoding: ids, the bytes they stand for, and whether
+    they decode to the text they came from."""
+    import public_tokenizers
+
+    return pieces.encode_checked(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language ID", by_language),
+    ("MinHash near-dedup", without_copies),
+    ("secret scans", without_secrets),
+    ("mixing sources", by_source),
+    ("SentencePiece", as_pieces),
+]
+
+#: Models and hash signatures decide most stages, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    import uuid
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+            docs.write.parquet(at)
+            docs = spark.read.parquet(at)
     return docs

@@ -273,7 +273,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     may = may.where(~F.coalesce(held_out(F.col("k")), F.lit(False)) & F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull())
     may = may.withColumn("h", F.xxhash64("k", "t"))
     order = Window.partitionBy("l").orderBy("h", "k")
-    first = may.select("l", "k", "h", F.length("t").alias("n")).where(F.col("n") <= SAMPLE_CHARS // 10).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_TEXTS)
+    first = may.select("l", "k", "h", F.length("t").alias("n")).where(F.col("n") <= SAMPLE_CHARS // 10).withColumn("lot", F.pmod("h", F.lit(1024)))
+    # first within lots, so that a large language is not ranked in one task
+    for keys in (("l", "lot"), ("l",)):
+        first = first.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "k"))).where(F.col("nth") <= (SAMPLE_TEXTS // 10 if "lot" in keys else SAMPLE_TEXTS))
     first = first.withColumn("sum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("sum") <= SAMPLE_CHARS)
     # at most SAMPLE_TEXTS narrow rows for each language
     sample = may.join(F.broadcast(first.select("l", "h").distinct()), ["l", "h"], "left_semi").dropDuplicates(["l", "h"])
@@ -290,12 +293,14 @@ def _scorer(blob: bytes) -> Scorer:
     return Scorer(pickle.loads(blob))
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, held_out, lang_pred, score, accepted`` for every row."""
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """``key, held_out, lang_pred, score, accepted`` for every row; with ``keep`` the
+    whole row of ``docs`` as the struct ``row`` in place of ``key``."""
     import pickle
 
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    only = docs.select(F.col(key).alias("k"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), text_of(docs, text).alias("t"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.col(key)
+    only = docs.select(carried.alias("k"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), text_of(docs, text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(sent.value)
@@ -305,7 +310,9 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 said = list(zip(*scorer.predict(part.column(2).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, kind) for x, kind in zip(said, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=["k", "held_out", "lang_pred", "score", "accepted"])
 
-    return map_batches(only, run, f"k {dict(only.dtypes)['k']}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("k", key)
+    carried_type = only.schema["k"].dataType.simpleString()
+    found = map_batches(only, run, f"k {carried_type}, held_out boolean, lang_pred string, score double, accepted boolean")
+    return found.withColumnRenamed("k", "row" if keep else key)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, text_of
 
 WORDS, THRESHOLD = 5, 0.8
+#: A similarity of exactly the threshold counts, though sums of doubles fall short of it.
+SLACK = 1e-9
 #: 26 bands of 4: a pair at 0.8 is missed once in a million, one at 0.5 meets in four of five.
 BANDS, ROWS_PER_BAND = 26, 4
 PLACES = BANDS * ROWS_PER_BAND
@@ -213,7 +215,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts = asked.join(all_texts, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "t").dropDuplicates(["node"])
     texts = texts.persist()
     first = cut(verified(star, texts))
-    links = first.where(F.col("similarity") >= threshold)
+    links = first.where(F.col("similarity") >= threshold - SLACK)
     labels = components(links)
 
     # what shares a bucket but no class, unless the distances to its centre differ too much
@@ -225,9 +227,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     seen = cut(seen.join(several, "band"))
     near = seen.select("band", F.col("node").alias("a"), F.col("d").alias("da"), F.col("label").alias("la"), F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"))
     far = seen.select("band", F.col("node").alias("b"), F.col("d").alias("db"), F.col("label").alias("lb"), "ring")
-    more = near.join(far, ["band", "ring"]).where("la <> lb and abs(da - db) <= " + repr(reach + 1e-9))
+    more = near.join(far, ["band", "ring"]).where("la <> lb and abs(da - db) <= " + repr(reach + SLACK))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = cut(verified(more, texts).where(F.col("similarity") >= threshold))
+    second = cut(verified(more, texts).where(F.col("similarity") >= threshold - SLACK))
     texts.unpersist()
     if second.limit(1).count():
         labels = components(links.select("a", "b").union(second.select("a", "b")))

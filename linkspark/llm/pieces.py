@@ -206,6 +206,12 @@ def codec_of(model: bytes) -> Codec:
     return Codec(model)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """A list of 32-bit numbers for each row, without a Python object for each number."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32))
+
+
 def _mapped(docs: DataFrame, model_path: str, key: str, text: str, schema: str, rows_of) -> DataFrame:
     """Rows of ``rows_of(codec, keys, texts)`` for blocks of documents, in Arrow. The
     model is sent to the executors once, as a broadcast of its (fixed) size."""
@@ -231,12 +237,24 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     def rows(codec: Codec, texts: list[str]):
         ids = list(codec.ids(texts))
         spans = [codec.spans(t, x) for t, x in zip(texts, ids, strict=True)]
-        lists = lambda arrays, kind: pa.array([a.astype(np.int32) for a in arrays], pa.list_(kind))
-        return [lists(ids, pa.int32()), lists([s for s, _ in spans], pa.int32()), lists([e for _, e in spans], pa.int32())]
+        return [_lists(ids), _lists([s for s, _ in spans]), _lists([e for _, e in spans])]
 
     return _mapped(docs, model_path, key, text, "ids array<int>, starts array<int>, ends array<int>", rows)
 
 
+def encode_checked(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, text, ids, starts, ends, decodes``: as ``encode``, with the text and
+    whether its ids decode to it."""
+
+    def rows(codec: Codec, texts: list[str]):
+        ids = list(codec.ids(texts))
+        spans = [codec.spans(t, x) for t, x in zip(texts, ids, strict=True)]
+        same = [(codec.library.decode(x.tolist()) if len(x) else "") == t for t, x in zip(texts, ids, strict=True)]
+        return [pa.array(texts, pa.string()), _lists(ids), _lists([s for s, _ in spans]), _lists([e for _, e in spans]), pa.array(same, pa.bool_())]
+
+    return _mapped(docs, model_path, key, text, "text string, ids array<int>, starts array<int>, ends array<int>, decodes boolean", rows)
+
+
 def decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key, text`` from arrays of ids; a null array gives the empty text."""
     with open(model_path, "rb") as f:

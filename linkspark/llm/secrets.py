@@ -223,7 +223,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
         found = F.regexp_extract_all(out, F.lit(rule.pattern), F.lit(0))
         counted = F.regexp_extract_all(out, F.lit(rule.pattern), F.lit(rule.group))
         between = F.split(out, rule.pattern, -1)
-        masked = F.zip_with(found, counted, lambda f, c, r=rule: F.when(F.length(c) < r.least, f).otherwise(F.concat(F.left(f, F.length(f) - F.length(c)), F.lit(mask))))
+        short = rule.least
+        masked = F.zip_with(found, counted, lambda f, c: F.when(F.length(c) < short, f).otherwise(F.concat(F.left(f, F.length(f) - F.length(c)), F.lit(mask))))  # noqa: B023
         put = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(found)), masked, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
         out = F.when(F.array_contains("_kinds", i), put).otherwise(out)
         joined = joined.withColumn("_out", out)
