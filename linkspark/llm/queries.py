@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, pieces, quality, secrets
+from . import importance, language, licenses, mixing, neardup, pieces, quality, secrets, tokens
 from .sql import ORACLE_SQL
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op4_quality_classifier": importance.op4_quality_classifier,
+    "op9_token_counts": tokens.op9_token_counts,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_mixing": mixing.op5_mixing,

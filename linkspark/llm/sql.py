@@ -1,3 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import licenses
+
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle()}
