@@ -8,12 +8,11 @@ first arrival, and a shingle stops once its next arrival is later than all kept
 ones. Two signatures agree at a place with the probability of that Jaccard.
 
 Exact copies are one node from the start. Signatures are cut into bands; in every
-bucket of equal bands the smallest node is compared with each other one (a star,
+bucket of equal bands one central node is compared with each other one (a star,
 never all pairs), by the exact similarity of their texts. Links join nodes into
-classes. Pairs that still share a bucket but no class are then compared as well,
-except those that the distances to the bucket's centre rule out: one minus this
-similarity obeys the triangle inequality. So no pair of a bucket goes unexamined
-that could still join two classes.
+classes. Documents that still share a bucket but no class are then compared as well,
+if they share one of their rarest shingles, as all pairs at the threshold do. So no
+pair of a bucket goes unexamined that could still join two classes.
 
 Defined cases: texts without a word are in no class but their own, a document of
 fewer than five words is one shingle of them all; repeated rows and equal texts
@@ -40,6 +39,8 @@ SLACK = 1e-9
 BANDS, ROWS_PER_BAND = 26, 4
 PLACES = BANDS * ROWS_PER_BAND
 ROWS = 64
+#: Texts that tell common shingles from rare ones.
+ORDER_ROWS = 3000
 U = np.uint64
 
 
@@ -179,6 +180,52 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both, run, "a long, b long, similarity double")
 
 
+def _sharing_rare(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` with different labels among ``node, label, t`` that can still
+    reach the threshold; every such pair is among them.
+
+    With shared shingles of weight x in one document and y in the other, of 1 each, a
+    similarity is at most 1 / (1/x + 1/y - 1). Put the shingles in one order for all;
+    before the first that two documents share lie weights p and q, so x <= 1 - p and
+    y <= 1 - q, and a pair may be left out unless a shared shingle has small enough p
+    and q. Rare shingles come first, so that documents with nothing but a common
+    passage between them do not meet. How common a shingle is comes from a bounded
+    sample (ORDER_ROWS texts); it decides the order alone, not the result.
+    """
+    sample = [r["t"].encode() for r in rows.select("node", "t").orderBy(F.xxhash64("node"), "node").limit(ORDER_ROWS).select("t").collect()]
+    seen, times = np.unique(shingles(sample)[1] if sample else np.zeros(0, U), return_counts=True)
+    common = rows.sparkSession.sparkContext.broadcast((seen[times > 1], times[times > 1]))
+    over = 1 - threshold + SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, often = common.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                owner, shingle, count = shingles([x.encode() for x in part.column(2).to_pylist()])
+                rank = np.zeros(len(shingle), np.int64)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, shingle), len(keys) - 1)
+                    rank = np.where(keys[place] == shingle, often[place], 0)
+                order = np.lexsort((shingle, rank, owner))
+                owner, shingle, count = owner[order], shingle[order], count[order]
+                total = np.bincount(owner, count, part.num_rows)
+                before = np.cumsum(count) - count  # weight ahead of each shingle in its text
+                before = before - (np.cumsum(total) - total)[owner]
+                lead = before <= over * total[owner]
+                which = pa.array(owner[lead])
+                ahead = pa.array(before[lead] / total[owner[lead]])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[lead].view(np.int64)), part.column(0).take(which), part.column(1).take(which), ahead], names=["shingle", "node", "label", "ahead"])
+
+    leads = map_batches(rows.select("node", "label", "t"), run, "shingle long, node long, label long, ahead double")
+    leads = cut(leads)
+    met = leads.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
+    leads = leads.join(met, "shingle")
+    left = leads.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("ahead").alias("p"))
+    right = leads.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("ahead").alias("q"))
+    return left.join(right, "shingle").where(f"la < lb and 1 / (1 - p) + 1 / (1 - q) <= {1 + 1 / threshold + SLACK!r}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that links (a, b) lead to, for every node in
     one. Labels pass along links and then jump to their own label's label, so the
@@ -203,8 +250,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     nodes = cut(nodes)
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
-    buckets = cut(banded.join(centres, "band"))
+    # a bucket's centre is its node with the most company over all its bands: an
+    # original has more than the copies made from it
+    company = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(banded.join(company, "band"))
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    met = met.select("band", "node").join(company, "node")
+    centres = met.groupBy("band").agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
+    buckets = cut(met.select("band", "node").join(centres, "band"))
     star = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     star = cut(star)
 
@@ -218,17 +271,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     links = first.where(F.col("similarity") >= threshold - SLACK)
     labels = components(links)
 
-    # what shares a bucket but no class, unless the distances to its centre differ too much
-    reach = 1 - threshold
-    known = first.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("d"))
-    seen = buckets.where("node <> centre").join(known, ["centre", "node"]).join(labels, "node", "left")
-    seen = seen.select("band", "node", "d", F.coalesce("label", "node").alias("label"), F.floor(F.col("d") / reach).cast("int").alias("ring"))
+    # what shares a bucket but no class
+    seen = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     several = seen.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    seen = cut(seen.join(several, "band"))
-    near = seen.select("band", F.col("node").alias("a"), F.col("d").alias("da"), F.col("label").alias("la"), F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"))
-    far = seen.select("band", F.col("node").alias("b"), F.col("d").alias("db"), F.col("label").alias("lb"), "ring")
-    more = near.join(far, ["band", "ring"]).where("la <> lb and abs(da - db) <= " + repr(reach + SLACK))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = cut(seen.join(several, "band").select("node", "label").distinct())
+    more = cut(_sharing_rare(rest.join(texts, "node"), threshold).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     second = cut(verified(more, texts).where(F.col("similarity") >= threshold - SLACK))
     texts.unpersist()
     if second.limit(1).count():
