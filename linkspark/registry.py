@@ -1,4 +1,8 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .plans import core, risk, story
+
+QUERIES: dict = core.QUERIES | risk.QUERIES | story.QUERIES
+ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | risk.ORACLE_SQL | story.ORACLE_SQL
