@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, licenses, mixing, neardup, pieces, quality, secrets, tokens
+from . import importance, language, licenses, mixing, neardup, neighbours, pieces, quality, secrets, tokens
 from .sql import ORACLE_SQL
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_language_id": language.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
     "op10_near_dedup": neardup.op10_near_dedup,
 }
 
