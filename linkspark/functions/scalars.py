@@ -169,7 +169,7 @@ def clock_from_text(text: Column, anchor: Column) -> Column:
     h, m, s = (F.regexp_extract(text, r"(?<!\d)([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d))?(?!\d)", i) for i in (1, 2, 3))
     plain = F.when(h != "", F.try_to_timestamp(F.concat(F.date_format(anchor, "yyyy-MM-dd "), F.lpad(h, 2, "0"), F.lit(":"), m, F.lit(":"), F.when(s == "", "00").otherwise(s)), F.lit("yyyy-MM-dd HH:mm:ss")))
     key = F.date_format(anchor, "yyyyMMdd")
-    after = F.when(F.contains(text, key), F.substring(F.substring_index(text, key, -1), 1, 12))
+    after = F.when(F.contains(text, key), F.substring(F.call_function("substring_index", text, key, F.lit(-1)), 1, 12))
     late = F.try_to_timestamp(F.concat(key, F.substring(F.regexp_replace(after, "[^0-9]", ""), 1, 6)), F.lit("yyyyMMddHHmmss"))
     return F.coalesce(plain, stamp(r"(?<!\d)(\d{14})(?!\d)", "ddMMyyyyHHmmss"), stamp(r"(?<!\d)(\d{14})(?!\d)", "yyyyMMddHHmmss"), late)
 
