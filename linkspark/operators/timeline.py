@@ -74,7 +74,7 @@ def episodes(ev, k: int | None = None) -> DataFrame:
     """Call-and-transfer coincidences and daily bursts, scored alike."""
     corr = P.call_transfer_correlation(ev).join(P.nearest_session(ev).select("event_id", F.lit(1).alias("sessions")), "event_id", "left")
     score = F.least(F.lit(98), F.floor("score") + F.when(F.col("sessions") == 1, 8).otherwise(0)).cast("long")
-    one = corr.select(F.col("event_id").alias("key"), F.lit(1).alias("calls"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.lit(1).cast("long").alias("transfers"), F.col("amount").alias("total"), score.alias("score"), F.bround(1 + (10 - F.least(F.lit(10.0), F.col("delta_sec") / 60)), 1).alias("density"))
+    one = corr.select(F.col("event_id").alias("key"), F.lit(1).alias("calls"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.lit(1).cast("long").alias("transfers"), F.col("amount").alias("total"), score.alias("score"), (F.bround((660 - F.least(F.lit(600), F.col("delta_sec"))) / 6, 0) / 10).alias("density"))
     many = daily_bursts(ev).select(F.concat(F.lit("DAY-"), F.col("day").cast("string")).alias("key"), F.lit(0).alias("calls"), F.lit(0).alias("sessions"), "transfers", "total", "score", F.bround(F.col("transfers") / 24, 1).alias("density"))
     both = one.unionByName(many).withColumn("severity", F.when(F.col("score") >= 80, "CRITICAL").when((F.col("score") >= 60) | (F.col("calls") == 0), "HIGH").otherwise("MEDIUM"))
     kind = F.when((F.col("transfers") > 0) & (F.col("calls") + F.col("sessions") > 0), "Multi-Modal Pass-Through").when(F.col("transfers") > 0, "High-Value Transfer Burst").otherwise("Telecom Burst")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, risk, story
+from .plans import core, intake, risk, story
 
-QUERIES: dict = core.QUERIES | risk.QUERIES | story.QUERIES
-ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | risk.ORACLE_SQL | story.ORACLE_SQL
+QUERIES: dict = core.QUERIES | risk.QUERIES | story.QUERIES | intake.QUERIES
+ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | risk.ORACLE_SQL | story.ORACLE_SQL | intake.ORACLE_SQL
