@@ -39,8 +39,11 @@ SLACK = 1e-9
 BANDS, ROWS_PER_BAND = 26, 4
 PLACES = BANDS * ROWS_PER_BAND
 ROWS = 64
-#: Texts that tell common shingles from rare ones.
-ORDER_ROWS = 3000
+#: Numbers in a sketch of four bits for each place, and in how many places the sketches
+#: of a pair at the threshold may differ: 19.5 are expected, more than 40 once in a million.
+SKETCH, SKETCH_SLACK = 7, 40
+#: Texts, and characters of each, that tell common shingles from rare ones.
+ORDER_ROWS, ORDER_CHARS = 5000, 20_000
 U = np.uint64
 
 
@@ -122,6 +125,24 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """n x SKETCH numbers of 64 bits: four bits of each place."""
+    wide = np.zeros((len(signature), SKETCH * 16), U)
+    wide[:, :PLACES] = _mix(signature) & U(15)
+    return np.bitwise_or.reduce(wide.reshape(-1, SKETCH, 16) << (np.arange(16, dtype=U) * U(4)), axis=2)
+
+
+def sketches_differ(a: str, b: str):
+    """In how many places two sketches differ, in DataFrame functions."""
+    nibbles = 0x1111111111111111
+    total = F.lit(0)
+    for i in range(SKETCH):
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        low = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total = total + F.bit_count(low.bitwiseAND(F.lit(nibbles)))
+    return total
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The exact probability Jaccard of two (sorted shingles, counts): the sum over
     shared i of 1 / sum over j of max(a_j / a_i, b_j / b_i)."""
@@ -140,7 +161,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, node, bands``: a row per document; no bands without words."""
+    """``id, node, bands, sketch``: a row per document; no bands without words."""
     t = text_of(docs, text)
     only = docs.select(F.col(key).alias("id"), F.xxhash64(t).alias("node"), t.alias("t"))
 
@@ -149,12 +170,14 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 owner, shingle, count = shingles([x.encode() for x in part.column(2).to_pylist()])
-                keys = band_keys(signatures(owner, shingle, count, part.num_rows)).view(np.int64)
+                signature = signatures(owner, shingle, count, part.num_rows)
+                keys = band_keys(signature).view(np.int64)
+                packed = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * SKETCH, sketches(signature).view(np.int64).ravel())
                 have = np.bincount(owner, minlength=part.num_rows) > 0
                 offsets = np.concatenate([[0], np.cumsum(have * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, keys[have].ravel())], names=["id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, keys[have].ravel()), packed], names=["id", "node", "bands", "sketch"])
 
-    return map_batches(only, run, f"id {dict(only.dtypes)['id']}, node long, bands array<long>")
+    return map_batches(only, run, f"id {dict(only.dtypes)['id']}, node long, bands array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,8 +204,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sharing_rare(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` with different labels among ``node, label, t`` that can still
-    reach the threshold; every such pair is among them.
+    """Pairs ``a, b`` with different labels among ``node, label, t, sketch`` that can
+    still reach the threshold; every such pair is among them, but for the chance in a
+    million that its sketches differ more than SKETCH_SLACK.
 
     With shared shingles of weight x in one document and y in the other, of 1 each, a
     similarity is at most 1 / (1/x + 1/y - 1). Put the shingles in one order for all;
@@ -192,9 +216,11 @@ def _sharing_rare(rows: DataFrame, threshold: float) -> DataFrame:
     passage between them do not meet. How common a shingle is comes from a bounded
     sample (ORDER_ROWS texts); it decides the order alone, not the result.
     """
-    sample = [r["t"].encode() for r in rows.select("node", "t").orderBy(F.xxhash64("node"), "node").limit(ORDER_ROWS).select("t").collect()]
-    seen, times = np.unique(shingles(sample)[1] if sample else np.zeros(0, U), return_counts=True)
-    common = rows.sparkSession.sparkContext.broadcast((seen[times > 1], times[times > 1]))
+    share = min(1.0, ORDER_ROWS / max(1, rows.count()))
+    short = rows.where((F.length("t") <= ORDER_CHARS) & (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    sample = [r["t"].encode() for r in short.select("t").collect()]  # ORDER_ROWS texts, more or less
+    seen = np.unique(shingles(sample)[1] if sample else np.zeros(0, U), return_counts=True)
+    common = rows.sparkSession.sparkContext.broadcast((seen[0], seen[1].astype(np.int32)))
     over = 1 - threshold + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +241,15 @@ def _sharing_rare(rows: DataFrame, threshold: float) -> DataFrame:
                 lead = before <= over * total[owner]
                 which = pa.array(owner[lead])
                 ahead = pa.array(before[lead] / total[owner[lead]])
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[lead].view(np.int64)), part.column(0).take(which), part.column(1).take(which), ahead], names=["shingle", "node", "label", "ahead"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[lead].view(np.int64)), part.column(0).take(which), part.column(1).take(which), ahead, part.column(3).take(which)], names=["shingle", "node", "label", "ahead", "sketch"])
 
-    leads = map_batches(rows.select("node", "label", "t"), run, "shingle long, node long, label long, ahead double")
+    leads = map_batches(rows.select("node", "label", "t", "sketch"), run, "shingle long, node long, label long, ahead double, sketch array<long>")
     leads = cut(leads)
     met = leads.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
     leads = leads.join(met, "shingle")
-    left = leads.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("ahead").alias("p"))
-    right = leads.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("ahead").alias("q"))
-    return left.join(right, "shingle").where(f"la < lb and 1 / (1 - p) + 1 / (1 - q) <= {1 + 1 / threshold + SLACK!r}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = leads.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("ahead").alias("p"), F.col("sketch").alias("sa"))
+    right = leads.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("ahead").alias("q"), F.col("sketch").alias("sb"))
+    return left.join(right, "shingle").where(f"la < lb and 1 / (1 - p) + 1 / (1 - q) <= {1 + 1 / threshold + SLACK!r}").where(sketches_differ("sa", "sb") <= SKETCH_SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,7 +273,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """``id, node, label, class_id, copies, members``: a row per document; ``class_id``
     is the smallest id of its class, ``copies`` counts equal texts."""
     rows = cut(signed(docs, key, text))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     nodes = cut(nodes)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     # a bucket's centre is its node with the most company over all its bands: an
@@ -275,7 +301,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     seen = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     several = seen.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
     rest = cut(seen.join(several, "band").select("node", "label").distinct())
-    more = cut(_sharing_rare(rest.join(texts, "node"), threshold).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    more = cut(_sharing_rare(rest.join(texts, "node").join(nodes.select("node", "sketch"), "node"), threshold).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     second = cut(verified(more, texts).where(F.col("similarity") >= threshold - SLACK))
     texts.unpersist()
     if second.limit(1).count():
