@@ -13,12 +13,18 @@ from . import scoring as S
 from .aggregates import owned
 
 
+def board_of(ev) -> DataFrame:
+    """The leaderboard's rows, kept: one for each entity, read several times, and a
+    wall that filters on a score's many expressions do not pass."""
+    return S.leaderboard(S.profiles(ev)).persist()
+
+
 def findings(ev) -> DataFrame:
     """One row for each kind of finding that the case has."""
     row = lambda df, kind, severity, confidence, amount, subject: df.select(F.lit(kind).alias("pattern"), severity.alias("severity"), confidence.cast("long").alias("confidence"), amount.cast("double").alias("amount"), subject.alias("subject"))
     lit = F.lit
     seeds = A.seed_convergence(ev.tx, ev.acc).orderBy(F.desc("sources"), F.desc("amount"), "dest").limit(1)
-    board = S.leaderboard(S.profiles(ev)).where("role = 'INTERMEDIARY MULE' and category in ('HIGH', 'CRITICAL') and inflow >= 50000 and tx_count between 3 and 250")
+    board = board_of(ev).where("role = 'INTERMEDIARY MULE' and category in ('HIGH', 'CRITICAL') and inflow >= 50000 and tx_count between 3 and 250")
     mules = board.orderBy(F.desc("total"), F.desc("confidence"), F.desc("inflow"), "entity_id").limit(4).agg(F.count(lit(1)).alias("n"), F.sum("inflow").alias("amount"), F.array_join(F.array_sort(F.collect_list("entity_id")), ",").alias("who")).where("n > 0")
     corr = P.call_transfer_correlation(ev).agg(F.count(lit(1)).alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount")).where("n > 0")
     hub = A.fan_in_hubs(ev.tx, k=1)
@@ -37,7 +43,7 @@ def findings(ev) -> DataFrame:
 
 def str_report(ev, k: int = 15) -> DataFrame:
     """For each entity its profile and its k largest transfers in one row."""
-    p = S.leaderboard(S.profiles(ev)).select("entity_id", "role", "total", "category")
+    p = board_of(ev).select("entity_id", "role", "total", "category")
     w = Window.partitionBy("entity_id").orderBy(F.desc("amount"), "transaction_id")
     top = owned(ev.tx, ev.acc).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     top = top.groupBy("entity_id").agg(F.count(F.lit(1)).alias("listed"), F.sum("amount").cast("double").alias("listed_amount"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "transaction_id"))), lambda x: x["transaction_id"]), ",").alias("transfers"))
