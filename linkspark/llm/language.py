@@ -93,6 +93,8 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word, end included, in each language."""
+        if not self.languages:
+            return np.zeros((len(words), 0))
         owner, context, hashes = _grams(words)
         found = np.zeros((len(owner), len(self.languages)), np.float32)
         todo, at = np.arange(len(owner)), context.copy()
