@@ -26,7 +26,7 @@ def accounts(acc: DataFrame, text: str) -> DataFrame:
     return acc.where(holds(text, "account_id", "entity_id", "entity_name", "phone"))
 
 
-def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
+def paged(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     size, number = min(max(size, 1), 500), max(number, 1)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
@@ -48,7 +48,7 @@ def ledger_page(tx: DataFrame, text: str | None = None, account: str | None = No
         tx = tx.where(F.col("account_id") == account)
     if direction:
         tx = tx.where(F.col("direction") == direction.upper())
-    return ledger_rows(globals()["page"](tx, [F.desc("transaction_date"), F.desc("transaction_id")], page, size))
+    return ledger_rows(paged(tx, [F.desc("transaction_date"), F.desc("transaction_id")], page, size))
 
 
 def telecom_rows(tel: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def telecom_page(tel: DataFrame, text: str | None = None, event_type: str | None
         tel = tel.where(F.col("event_type") == event_type)
     if msisdn:
         tel = tel.where(F.col("msisdn") == msisdn)
-    return telecom_rows(globals()["page"](tel, [F.desc("event_at"), F.desc("event_id")], page, size))
+    return telecom_rows(paged(tel, [F.desc("event_at"), F.desc("event_id")], page, size))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
