@@ -106,9 +106,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies", "rows").where("copies > 0")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(text_of(docs)).alias("_hash"))
     # repeated rows share their copies: each gets the even part, the first ones the rest
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
-    keyed = keyed.alias("d").join(chosen.alias("c"), keyed["_id"].eqNullSafe(chosen["_id"]) & (keyed["_hash"] == chosen["_hash"]))
-    keyed = keyed.select("d.row", "d._id", "d._hash", "c.copies", "c.rows").withColumn("nth", nth)
+    # one hash for the join and for the count after it, so that the texts move once
+    chosen = chosen.select(F.xxhash64("_id", "_hash").alias("_j"), F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "copies", "rows")
+    keyed = keyed.withColumn("_j", F.xxhash64("_id", "_hash")).join(chosen, "_j").where(F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("_j", "_id", "_hash").orderBy("_id")))
     n = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.pmod("copies", "rows")).cast("long")
     return keyed.withColumn("n", n).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 

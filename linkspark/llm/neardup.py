@@ -327,9 +327,11 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
     kept = near_duplicates(docs, key, text, **how).where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct()
     # a class's id with two texts of one class: one of them
     kept = kept.groupBy("_id").agg(F.min("_node").alias("_node"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_d"), F.xxhash64(text_of(docs, text)).alias("_t"))
-    met = row.join(kept, row["_d"].eqNullSafe(kept["_id"]) & (row["_t"] == kept["_node"]))
-    one = met.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d"))).where("_n = 1")
+    # one hash for the join and for the count after it, so that the texts move once
+    kept = kept.withColumn("_j", F.xxhash64("_id", "_node"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_d"), F.xxhash64(text_of(docs, text)).alias("_t")).withColumn("_j", F.xxhash64("_d", "_t"))
+    met = row.join(kept, "_j").where(F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_node")))
+    one = met.withColumn("_n", F.row_number().over(Window.partitionBy("_j", "_d", "_t").orderBy("_d"))).where("_n = 1")
     return one.select("row.*")
 
 
