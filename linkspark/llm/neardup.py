@@ -18,7 +18,8 @@ Defined cases: texts without a word are in no class but their own, a document of
 fewer than five words is one shingle of them all; repeated rows and equal texts
 share a class; a null id is an id like others and sorts last as a class id; an
 empty table gives an empty result; other columns of the input are not read,
-whatever their names. Nodes are 64-bit hashes of texts.
+whatever their names. Nodes are 64-bit hashes of texts. Ids may be null or repeated,
+so that two classes can have one ``class_id``; ``class_node`` tells them apart.
 """
 
 from __future__ import annotations
@@ -270,8 +271,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id, node, label, class_id, copies, members``: a row per document; ``class_id``
-    is the smallest id of its class, ``copies`` counts equal texts."""
+    """``id, node, class_id, class_node, copies, members``: a row per document;
+    ``class_id`` is the smallest id of its class and ``class_node`` the smallest node
+    with that id, which is in no other class; ``copies`` counts equal texts."""
     rows = cut(signed(docs, key, text))
     nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     nodes = cut(nodes)
@@ -308,14 +310,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         labels = components(links.select("a", "b").union(second.select("a", "b")))
 
     own = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"), F.size("bands").alias("n"))
-    classes = own.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("members"))
-    named = own.join(classes, "label").select("node", "label", "class_id", "copies", "members", "n")
+    lead = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("class_id"), F.col("node").alias("class_node")))
+    classes = own.groupBy("label").agg(lead.alias("lead"), F.sum("copies").alias("members")).select("label", "lead.class_id", "lead.class_node", "members")
+    named = own.join(classes, "label").select("node", "class_id", "class_node", "copies", "members", "n")
     out = rows.select("id", "node").join(named, "node")
     alone = F.col("n") == 0
     return out.select(
         "id",
         "node",
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("node")).otherwise(F.col("class_node")).alias("class_node"),
         F.when(alone, 1).otherwise(F.col("copies")).cast("long").alias("copies"),
         F.when(alone, 1).otherwise(F.col("members")).cast("long").alias("members"),
     )
@@ -323,10 +327,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the one with the
-    smallest id (of repeated rows one)."""
-    kept = near_duplicates(docs, key, text, **how).where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct()
-    # a class's id with two texts of one class: one of them
-    kept = kept.groupBy("_id").agg(F.min("_node").alias("_node"))
+    smallest id (of repeated rows, and of texts of a class with that id, one)."""
+    # each class has its own node, though classes may share an id or have none
+    leads = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))
+    kept = near_duplicates(docs, key, text, **how).where(leads).select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct()
     # one hash for the join and for the count after it, so that the texts move once
     kept = kept.withColumn("_j", F.xxhash64("_id", "_node"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_d"), F.xxhash64(text_of(docs, text)).alias("_t")).withColumn("_j", F.xxhash64("_d", "_t"))
@@ -338,4 +342,4 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "copies", "members")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_node", "copies", "members")

@@ -238,6 +238,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_every_class_keeps_one_row_without_ids_of_its_own(spark):
+    said = lambda w, n=30: " ".join(f"{w}{i}" for i in range(n))
+    made = [(None, said("a")), (None, said("b")), (None, said("b")), (None, said("c", 60)), (None, said("c", 60) + " end"), (7, said("d")), (7, said("e")), (8, said("e")), (9, said("f")), (9, said("g")), (9, said("g")), (None, said("g")), (3, ""), (None, " ")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    rows = neardup.near_duplicates(df).collect()
+    kinds = collections.Counter((r["class_id"], r["class_node"]) for r in rows)
+    assert sorted(kinds.values()) == sorted([1, 2, 2, 1, 2, 1, 3, 1, 1]) and len({n for _, n in kinds}) == 9
+    left = [(r["doc_id"], r["text"][:1]) for r in neardup.first_of_each(df).collect()]
+    assert collections.Counter(left) == collections.Counter([(None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (9, "f"), (9, "g"), (3, ""), (None, " ")])
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(1)
     gaps = []
