@@ -30,8 +30,8 @@ def _total(rules, test) -> Column:
 
 def document_scores(text: Column, keywords: dict = KEYWORDS) -> dict[str, Column]:
     """The sum of each kind's phrases that a text holds, spaces at a phrase's ends
-    not counting. The text is made lower case, white space one space, up to a cap."""
-    t = F.lower(F.trim(F.regexp_replace(F.substring(F.replace(text, F.lit("\0"), F.lit(" ")), 1, TEXT_CAP), r"\s+", " ")))
+    not counting. The whole text is made lower case, white space one space."""
+    t = F.lower(F.trim(F.regexp_replace(F.replace(text, F.lit("\0"), F.lit(" ")), r"\s+", " ")))
     return {k: _total(rules, lambda p: F.contains(t, F.lit(p.strip()))) for k, rules in keywords.items()}
 
 

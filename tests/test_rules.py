@@ -54,6 +54,12 @@ def test_moment(spark, text):
     assert value(spark, X.moment(F.lit(text)).cast("string")) == "2024-03-05 10:11:12"
 
 
+def test_documents_are_read_whole(spark):
+    made = [("far", "x " * 6000 + "bank statement"), ("blanks", " " * 9000 + "bank statement"), ("none", " " * 9000)]
+    got = {r["doc_id"]: (r["bank"], r["category"], r["status"]) for r in C.documents(spark.createDataFrame(made, "doc_id string, text string")).collect()}
+    assert got == {"far": (7, "bank", "classified"), "blanks": (7, "bank", "classified"), "none": (0, "quarantine", "quarantined")}
+
+
 def test_moment_of_no_date(spark):
     assert value(spark, X.moment(F.lit("31-02-2024"))) is None
 
