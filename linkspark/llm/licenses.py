@@ -113,10 +113,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     t = text_of(docs, text)
     whole = docs.select(F.col(key).alias("k"), t.alias("t")).withColumn("digest", F.sha2(canonical(F.col("t")), 256))
     whole = whole.join(known, whole["digest"] == known["known"], "left").select("k", "t", "digest", "license")
-    # a line can only be a notice if it is as long as some: cheap and exact, and made
-    # canonical only then; the few digests are looked up where they are, row by row
+    # a notice says "license", or "public" and "domain", however they are spaced: a line
+    # is made canonical only then; the few digests are looked up row by row
     table = F.create_map(*[x for name, text in KNOWN if "\n" not in text for x in (F.sha2(canonical(F.lit(text)), 256), F.lit(name))])
-    lines = F.filter(F.split("t", "\n", -1), lambda x: F.contains(F.lower(x), F.lit("licen")) | F.contains(F.lower(x), F.lit("public domain")))
+    lines = F.filter(F.split("t", "\n", -1), lambda x: F.contains(F.lower(x), F.lit("licen")) | (F.contains(F.lower(x), F.lit("public")) & F.contains(F.lower(x), F.lit("domain"))))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(table, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
     return whole.select("k", "digest", "license", found.alias("found")).select(
         F.col("k").alias(key), "digest", "license", F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices")
