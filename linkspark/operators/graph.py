@@ -14,6 +14,7 @@ def _top(g: DataFrame, order: str, k: int, name: str) -> DataFrame:
 
 
 def money_links(ev, k: int = 25) -> DataFrame:
+    """The k largest destinations of each entity, for display."""
     g = with_destination(owned(ev.tx, ev.acc)).where("dest is not null").groupBy("entity_id", "account_id", "dest").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total"), F.array_join(F.array_sort(F.collect_set("direction")), "/").alias("directions"))
     w = Window.partitionBy("entity_id").orderBy(F.desc("total"), "account_id", "dest")
     return g.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
@@ -65,9 +66,11 @@ def summary(ev) -> DataFrame:
 
 
 def tints(ev) -> DataFrame:
-    """The colour of each entity's node, 0 to 100."""
-    money = money_links(ev).groupBy("entity_id").agg(F.sum("n").alias("tx"), F.countDistinct("dest").alias("cps"))
-    said = call_links(ev).groupBy("entity_id").agg(F.count(F.lit(1)).alias("calls"))
+    """The colour of each entity's node, 0 to 100, from all its ledger rows,
+    destinations and call partners, not only those that are drawn."""
+    pairs = with_destination(owned(ev.tx, ev.acc)).groupBy("entity_id", "dest").agg(F.count(F.lit(1)).alias("n"))
+    money = pairs.groupBy("entity_id").agg(F.sum("n").alias("tx"), F.count("dest").alias("cps"))
+    said = _telecom(ev).where("event_type = 'CDR' and b_party not in ('', '-')").select("entity_id", "msisdn", "b_party").distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("calls"))
     f = ev.ent.select("entity_id", "is_seed").join(money, "entity_id", "left").join(said, "entity_id", "left").na.fill(0, ["tx", "cps", "calls"])
     s = F.when(F.col("tx") >= 3, F.least(F.lit(40.0), (F.col("tx") - 2) * 1.5)).otherwise(0.0) + F.when(F.col("cps") >= 3, F.least(F.lit(30.0), (F.col("cps") - 2) * 4.0)).otherwise(0.0) + F.when(F.col("calls") >= 8, F.least(F.lit(18.0), F.col("calls") * 0.4)).otherwise(0.0)
     f = f.withColumn("s", s)
