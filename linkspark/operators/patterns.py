@@ -55,9 +55,10 @@ def call_before_transfer(ev, minutes: int = 15) -> DataFrame:
 def call_transfer_correlation(ev, minutes: int = 10) -> DataFrame:
     """For each call its best transfer: of the caller's entity within ten minutes, the
     largest amount; else one of the same day. A caller without an entity is matched
-    with any account's transfers within ten minutes."""
+    with any account's transfers within ten minutes. A transfer with a date alone is
+    scored by the clock in its narration, where it has one."""
     said = calls(ev.tel, ev.ent)
-    pay = owned(ev.tx, ev.acc).select("entity_id", "transaction_id", "transaction_date", F.col("amount").cast("double").alias("amount"))
+    pay = owned(ev.tx, ev.acc).select("entity_id", "transaction_id", "transaction_date", F.col("amount").cast("double").alias("amount"), "narration")
     known = said.where("entity_id is not null").select("entity_id", "event_id", "call_at")
     close = interval_join(known, pay, ["entity_id"], "call_at", "transaction_date", -minutes * 60, minutes * 60).withColumn("tier", F.lit(1))
     day = known.withColumn("day", F.to_date("call_at")).join(pay.withColumn("day", F.to_date("transaction_date")), ["entity_id", "day"]).drop("day").withColumn("tier", F.lit(2))
@@ -66,12 +67,16 @@ def call_transfer_correlation(ev, minutes: int = 10) -> DataFrame:
     loose = interval_join(strange, any_pay, [], "call_at", "transaction_date", -minutes * 60, minutes * 60).withColumn("tier", F.lit(1)).withColumnRenamed("owner", "entity_id")
     every = close.unionByName(day).unionByName(loose)
     # a maximum, not a ranked window: it is combined before the shuffle
-    best = every.groupBy("event_id", "call_at").agg(F.max_by(F.struct("entity_id", "transaction_id", "transaction_date", "amount", "tier"), F.struct(-F.col("tier"), "amount", "transaction_id")).alias("b"))
+    best = every.groupBy("event_id", "call_at").agg(F.max_by(F.struct("entity_id", "transaction_id", "transaction_date", "amount", "tier", "narration"), F.struct(-F.col("tier"), "amount", "transaction_id")).alias("b"))
     best = best.select("event_id", "call_at", "b.*")
-    delta = F.abs(F.unix_timestamp(F.col("transaction_date").cast("timestamp")) - F.unix_timestamp(F.col("call_at").cast("timestamp")))
-    exact = X.has_clock(F.col("transaction_date"))
+    clock = X.has_clock(F.col("transaction_date"))
+    said = X.clock_from_text(F.concat_ws(" ", "narration"), F.col("transaction_date"))
+    best = best.withColumn("paid", F.when(clock, F.col("transaction_date").cast("timestamp")).otherwise(said.cast("timestamp")))
+    delta = F.abs(F.unix_timestamp("paid") - F.unix_timestamp(F.col("call_at").cast("timestamp")))
+    exact = F.col("paid").isNotNull()
     score = F.when(exact, F.greatest(F.lit(40.0), F.least(F.lit(98.0), 100 - delta / 10))).otherwise(74.0)
-    return best.withColumn("delta_sec", F.when(exact, delta).otherwise(0)).withColumn("time_source", F.when(exact, "statement").otherwise("linked_cdr")).withColumn("score", score)
+    source = F.when(clock, "statement").when(exact, "narration").otherwise("linked_cdr")
+    return best.withColumn("delta_sec", F.when(exact, delta).otherwise(0)).withColumn("time_source", source).withColumn("score", score).drop("narration", "paid")
 
 
 def nearest_session(ev, near: int = 2, far: int = 6) -> DataFrame:
