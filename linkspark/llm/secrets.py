@@ -38,12 +38,18 @@ class Rule:
     base: bool = False
 
 
+# A key from its header to the END line; without one, over the base64
+# after it. Possessive groups, which Java runs in a loop and not by recursion.
+_EOL = r"(?:\s|\\[nr])"
+_KEY_END = r"[^-]*+(?:-{1,4}[^-]+)*+-----END [A-Z ]*PRIVATE KEY-----"
+_KEY_LINES = rf"(?:\s*(?:Proc-Type|DEK-Info): [^\n]*)*+(?:{_EOL}*[A-Za-z0-9+/]{{20,}}={{0,2}})++(?:{_EOL}*\n[\x20\t]*[A-Za-z0-9+/]{{1,19}}={{0,2}}(?=[\x20\t\r]*(?:\n|$)))?"
+
 # The three base kinds, then well-known credential formats.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_END}|{_KEY_LINES})?", 0, 1),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]+", 0, 24),
@@ -219,7 +225,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
     both = docs.select(row.alias("row"), F.col(key).alias("_d"), F.xxhash64(text_of(docs, text)).alias("_t"))
     joined = both.join(hit, both["_d"].eqNullSafe(hit["_k"]) & (both["_t"] == hit["_h"]), "left")
     out = F.col(f"row.`{text}`")
-    for i, rule in enumerate(rules):
+    # keys first: another kind's mask inside a key, or in its header, would hide the rest
+    for i, rule in sorted(enumerate(rules), key=lambda x: x[1].kind != "private_key"):
         found = F.regexp_extract_all(out, F.lit(rule.pattern), F.lit(0))
         counted = F.regexp_extract_all(out, F.lit(rule.pattern), F.lit(rule.group))
         between = F.split(out, rule.pattern, -1)
