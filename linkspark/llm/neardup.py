@@ -9,9 +9,11 @@ ones. Two signatures agree at a place with the probability of that Jaccard.
 
 Exact copies are one node from the start. Signatures are cut into bands; in every
 bucket of equal bands one central node is compared with each other one (a star,
-never all pairs), by the exact similarity of their texts. Links join nodes into
-classes. Documents that still share a bucket but no class are then compared as well,
-if they share one of their rarest shingles, as all pairs at the threshold do. So no
+never all pairs), by the exact similarity of their texts, if bitmaps of their shingles
+leave it possible. Links join nodes into classes. What is not in its centre's class
+gets a new centre, until a round of stars finds few links. Documents that still share a
+bucket but no class are then compared as well, if they share one of their rarest
+shingles, as all pairs at the threshold do, and their bitmaps leave it possible. So no
 pair of a bucket goes unexamined that could still join two classes.
 
 Defined cases: texts without a word are in no class but their own, a document of
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, text_of
+from .common import cut, drop, map_batches, new_path, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 #: A similarity of exactly the threshold counts, though sums of doubles fall short of it.
@@ -40,11 +42,15 @@ SLACK = 1e-9
 BANDS, ROWS_PER_BAND = 26, 4
 PLACES = BANDS * ROWS_PER_BAND
 ROWS = 64
-#: Numbers in a sketch of four bits for each place, and in how many places the sketches
-#: of a pair at the threshold may differ: 19.5 are expected, more than 40 once in a million.
-SKETCH, SKETCH_SLACK = 7, 40
-#: Texts, and characters of each, that tell common shingles from rare ones.
-ORDER_ROWS, ORDER_CHARS = 5000, 20_000
+#: Bits of a bitmap for each distinct shingle, at least.
+BITS_EACH = 4
+#: Partners of one document that are compared in one place.
+LOT = 256
+#: Rounds of stars go on while one finds a link for every so many of the first round.
+WORTH = 20
+#: One in so many texts tells common shingles from rare ones, and so many shingles at
+#: most (over two of them) are sent to all tasks as common: 16 bytes each.
+SAMPLED, COMMON = 8, 100_000
 U = np.uint64
 
 
@@ -126,24 +132,6 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """n x SKETCH numbers of 64 bits: four bits of each place."""
-    wide = np.zeros((len(signature), SKETCH * 16), U)
-    wide[:, :PLACES] = _mix(signature) & U(15)
-    return np.bitwise_or.reduce(wide.reshape(-1, SKETCH, 16) << (np.arange(16, dtype=U) * U(4)), axis=2)
-
-
-def sketches_differ(a: str, b: str):
-    """In how many places two sketches differ, in DataFrame functions."""
-    nibbles = 0x1111111111111111
-    total = F.lit(0)
-    for i in range(SKETCH):
-        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
-        low = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        total = total + F.bit_count(low.bitwiseAND(F.lit(nibbles)))
-    return total
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The exact probability Jaccard of two (sorted shingles, counts): the sum over
     shared i of 1 / sum over j of max(a_j / a_i, b_j / b_i)."""
@@ -162,7 +150,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, node, bands, sketch``: a row per document; no bands without words."""
+    """``id, node, bands``: a row per document; no bands without words."""
     t = text_of(docs, text)
     only = docs.select(F.col(key).alias("id"), F.xxhash64(t).alias("node"), t.alias("t"))
 
@@ -171,57 +159,133 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 owner, shingle, count = shingles([x.encode() for x in part.column(2).to_pylist()])
-                signature = signatures(owner, shingle, count, part.num_rows)
-                keys = band_keys(signature).view(np.int64)
-                packed = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * SKETCH, sketches(signature).view(np.int64).ravel())
+                keys = band_keys(signatures(owner, shingle, count, part.num_rows)).view(np.int64)
                 have = np.bincount(owner, minlength=part.num_rows) > 0
                 offsets = np.concatenate([[0], np.cumsum(have * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, keys[have].ravel()), packed], names=["id", "node", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, keys[have].ravel())], names=["id", "node", "bands"])
 
-    return map_batches(only, run, f"id {dict(only.dtypes)['id']}, node long, bands array<long>, sketch array<long>")
+    return map_batches(only, run, f"id {dict(only.dtypes)['id']}, node long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of every pair, from ``texts`` (node, t; a row per node)."""
-    left = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+def bitmap(shingle: np.ndarray) -> np.ndarray:
+    """A bit for every distinct shingle, in a power of two of bits, at least four for each."""
+    words = 1 << max(0, int(np.ceil(np.log2(max(len(shingle), 1) * BITS_EACH / 64))))
+    place = _mix(shingle) & U(words * 64 - 1)
+    out = np.zeros(words, U)
+    np.bitwise_or.at(out, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+    return out
+
+
+def with_bits(texts: DataFrame) -> DataFrame:
+    """``node, total, bits, t`` of ``node, t``: the number of shingles, repeats counted,
+    and the bitmap of the distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = [x.encode() for c in (2, 3) for x in part.column(c).to_pylist()]
-                places: dict[bytes, int] = {}
-                at_text = [places.setdefault(x, len(places)) for x in texts]  # a centre's text comes with each of its pairs
-                owner, shingle, count = shingles(list(places))
-                edges = np.searchsorted(owner, np.arange(len(places) + 1))
-                sets = [(shingle[i:j], count[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-                n = part.num_rows
-                found = [similarity(sets[at_text[i]], sets[at_text[n + i]]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+                owner, shingle, count = shingles([x.encode() for x in part.column(1).to_pylist()])
+                edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                maps = [bitmap(shingle[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in maps])]).astype(np.int32)
+                total = np.bincount(owner, count, part.num_rows).astype(np.int64)
+                packed = pa.ListArray.from_arrays(offsets, np.concatenate(maps).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), packed, part.column(1)], names=["node", "total", "bits", "t"])
+
+    return map_batches(texts.select("node", "t"), run, "node long, total long, bits array<long>, t string")
+
+
+def may_reach(a: str, n_a: str, b: str, n_b: str, threshold: float) -> Column:
+    """Whether two documents' bitmaps (columns ``a``, ``b``) and totals leave room for
+    the threshold. A bit that only one has stands for a shingle that only it has, so
+    this never says no to a pair that reaches the threshold. Of bitmaps of which one is
+    twice as long, the longer is folded; a pair of other lengths passes."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda u, v: u.bitwiseOR(v))
+    x, y = F.col(a), F.col(b)
+    x, y = F.when(F.size(x) == 2 * F.size(y), half(x)).otherwise(x), F.when(F.size(y) == 2 * F.size(x), half(y)).otherwise(y)
+    alone = lambda u, v: F.aggregate(F.zip_with(u, v, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda s, z: s + z)
+    # one over the most that is shared, null if nothing is
+    share = lambda u, v, n: F.try_divide(F.col(n), F.col(n) - alone(u, v))
+    fits = share(x, y, n_a) + share(y, x, n_b) <= 1 + 1 / threshold + SLACK
+    return F.when(F.size(x) != F.size(y), True).otherwise(F.coalesce(fits, F.lit(False)))
+
+
+def possible(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``a, b`` that their bitmaps leave possible."""
+    left = texts.select(F.col("node").alias("a"), F.col("total").alias("na"), F.col("bits").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("total").alias("nb"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(may_reach("x", "na", "y", "nb", threshold)).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of every pair, from ``texts`` (node, t; a row per node).
 
-    return map_batches(both, run, "a long, b long, similarity double")
+    The partners of one ``a`` are dealt into lots of some LOT; its text goes once to
+    each lot and stands before its partners there, which pass in a stream."""
+    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
+    placed = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), "b")
+    heads = placed.select("a", "lot").distinct().select("a", "lot", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    rows = heads.unionByName(placed.select("a", "lot", "b", F.col("b").alias("node"))).join(texts.select("node", "t"), "node")
+    rows = rows.select("a", "lot", "b", "t").repartition("a", "lot").sortWithinPartitions("a", "lot", F.asc_nulls_first("b"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                owner, shingle, count = shingles([x.encode() for x in part.column(3).to_pylist()])
+                edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                found: list[tuple[int, int, float]] = []
+                for a, b, i, j in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), edges[:-1], edges[1:], strict=True):
+                    own = shingle[i:j], count[i:j]
+                    if b is None:
+                        head = own
+                    else:
+                        found.append((a, b, similarity(head, own)))
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+    return map_batches(rows, run, "a long, b long, similarity double")
+
+
+def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their counts of the COMMON most frequent ones in every
+    SAMPLED-th of ``rows`` (node, t): counted by tasks, then by shingle."""
+    sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("t")
 
-def _sharing_rare(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` with different labels among ``node, label, t, sketch`` that can
-    still reach the threshold; every such pair is among them, but for the chance in a
-    million that its sketches differ more than SKETCH_SLACK.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                keys, n = np.unique(shingles([x.encode() for x in batch.slice(at, ROWS).column(0).to_pylist()])[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counts = cut(map_batches(sample, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"))
+    least, room = 2, COMMON
+    # how many shingles have each count: a row for each bit length of counts, 64 at most
+    for bits, n in sorted(((r["bits"], r["n"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if n > room:
+            least = 2 << bits
+            break
+        room -= n
+    kept = counts.where(F.col("n") >= least).toArrow().sort_by("shingle")  # COMMON rows at most
+    keys = np.asarray(kept["shingle"]).astype(np.int64).view(U)
+    order = np.argsort(keys)
+    return keys[order], np.asarray(kept["n"])[order]
+
+
+def _sharing_rare(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` with different labels among ``node, label, t`` that can still reach
+    the threshold; every such pair is among them.
 
     With shared shingles of weight x in one document and y in the other, of 1 each, a
     similarity is at most 1 / (1/x + 1/y - 1). Put the shingles in one order for all;
     before the first that two documents share lie weights p and q, so x <= 1 - p and
     y <= 1 - q, and a pair may be left out unless a shared shingle has small enough p
     and q. Rare shingles come first, so that documents with nothing but a common
-    passage between them do not meet. How common a shingle is comes from a bounded
-    sample (ORDER_ROWS texts); it decides the order alone, not the result.
+    passage between them do not meet. How common a shingle is comes from a sample; it
+    decides the order alone, not the result. Bitmaps bound x and y once more.
     """
-    share = min(1.0, ORDER_ROWS / max(1, rows.count()))
-    short = rows.where((F.length("t") <= ORDER_CHARS) & (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    sample = [r["t"].encode() for r in short.select("t").collect()]  # ORDER_ROWS texts, more or less
-    seen = np.unique(shingles(sample)[1] if sample else np.zeros(0, U), return_counts=True)
-    common = rows.sparkSession.sparkContext.broadcast((seen[0], seen[1].astype(np.int32)))
+    common = rows.sparkSession.sparkContext.broadcast(_often(rows))
     over = 1 - threshold + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +306,15 @@ def _sharing_rare(rows: DataFrame, threshold: float) -> DataFrame:
                 lead = before <= over * total[owner]
                 which = pa.array(owner[lead])
                 ahead = pa.array(before[lead] / total[owner[lead]])
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[lead].view(np.int64)), part.column(0).take(which), part.column(1).take(which), ahead, part.column(3).take(which)], names=["shingle", "node", "label", "ahead", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[lead].view(np.int64)), part.column(0).take(which), part.column(1).take(which), ahead], names=["shingle", "node", "label", "ahead"])
 
-    leads = map_batches(rows.select("node", "label", "t", "sketch"), run, "shingle long, node long, label long, ahead double, sketch array<long>")
-    leads = cut(leads)
+    leads = cut(map_batches(rows.select("node", "label", "t"), run, "shingle long, node long, label long, ahead double"))
     met = leads.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    leads = leads.join(met, "shingle")
-    left = leads.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("ahead").alias("p"), F.col("sketch").alias("sa"))
-    right = leads.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("ahead").alias("q"), F.col("sketch").alias("sb"))
-    return left.join(right, "shingle").where(f"la < lb and 1 / (1 - p) + 1 / (1 - q) <= {1 + 1 / threshold + SLACK!r}").where(sketches_differ("sa", "sb") <= SKETCH_SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    leads = cut(leads.join(met, "shingle").join(texts.select("node", "total", "bits"), "node"))
+    side = lambda node, label, ahead, total, bits: leads.select("shingle", F.col("node").alias(node), F.col("label").alias(label), F.col("ahead").alias(ahead), F.col("total").alias(total), F.col("bits").alias(bits))
+    both = side("a", "la", "p", "na", "x").join(side("b", "lb", "q", "nb", "y"), "shingle")
+    both = both.where(f"la < lb and 1 / (1 - p) + 1 / (1 - q) <= {1 + 1 / threshold + SLACK!r}").where(may_reach("x", "na", "y", "nb", threshold))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,39 +339,61 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     ``class_id`` is the smallest id of its class and ``class_node`` the smallest node
     with that id, which is in no other class; ``copies`` counts equal texts."""
     rows = cut(signed(docs, key, text))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     nodes = cut(nodes)
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    # a bucket's centre is its node with the most company over all its bands: an
-    # original has more than the copies made from it
     company = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(banded.join(company, "band"))
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
-    met = met.select("band", "node").join(company, "node")
-    centres = met.groupBy("band").agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
-    buckets = cut(met.select("band", "node").join(centres, "band"))
-    star = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    star = cut(star)
-
-    # one text for every node in a pair
-    asked = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(nodes.select("node", "first"), "node")
+    buckets = cut(met.select("band", "node").join(company, "node"))
+
+    # one text for every node in a bucket with another
+    asked = company.select("node").join(nodes.select("node", "first"), "node")
     t = text_of(docs, text)
     all_texts = docs.select(F.xxhash64(t).alias("node"), F.col(key).alias("id"), t.alias("t"))
     texts = asked.join(all_texts, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "t").dropDuplicates(["node"])
-    texts = texts.persist()
-    first = cut(verified(star, texts))
-    links = first.where(F.col("similarity") >= threshold - SLACK)
-    labels = components(links)
+    spark, at = docs.sparkSession, new_path(docs.sparkSession, "texts")
+    with_bits(texts).write.parquet(at)
+    texts = spark.read.schema("node long, total long, bits array<long>, t string").parquet(at)
+
+    # stars: each bucket's centre against the others; then, of those that are in no class
+    # of their centre, a new centre against the others, as long as that finds many links
+    tried = links = labels = None
+    left, first = buckets, 0
+    while True:
+        # the node with the most company over all its bands: an original has more than its copies
+        centres = left.groupBy("band").agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
+        starred = cut(left.join(centres, "band"))
+        star = starred.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        if tried is not None:
+            star = star.join(tried, ["a", "b"], "left_anti")
+        star = cut(possible(star, texts, threshold))
+        found = cut(verified(star, texts).where(F.col("similarity") >= threshold - SLACK).select("a", "b"))
+        tried = star if tried is None else tried.union(star)
+        n = found.count()
+        links = found if links is None else links.union(found)
+        if labels is not None and n * WORTH < first:
+            break
+        first = n if labels is None else first
+        labels = components(links)
+        own = labels.select("node", "label")
+        theirs = labels.select(F.col("node").alias("centre"), F.col("label").alias("of"))
+        left = starred.where("node <> centre").join(own, "node", "left").join(theirs, "centre", "left")
+        left = cut(left.where(F.coalesce("label", "node") != F.coalesce("of", "centre")).select("band", "node", "company"))
+
+    if n:
+        labels = components(links)
 
     # what shares a bucket but no class
     seen = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     several = seen.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = cut(seen.join(several, "band").select("node", "label").distinct())
-    more = cut(_sharing_rare(rest.join(texts, "node").join(nodes.select("node", "sketch"), "node"), threshold).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    second = cut(verified(more, texts).where(F.col("similarity") >= threshold - SLACK))
-    texts.unpersist()
+    rest = seen.join(several, "band").select("node", "label").distinct()
+    both_ways = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = cut(_sharing_rare(rest.join(texts.select("node", "t"), "node"), texts, threshold).join(both_ways, ["a", "b"], "left_anti"))
+    second = cut(verified(more, texts).where(F.col("similarity") >= threshold - SLACK).select("a", "b"))
     if second.limit(1).count():
-        labels = components(links.select("a", "b").union(second.select("a", "b")))
+        labels = components(links.union(second))
+    drop(spark, at)
 
     own = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"), F.size("bands").alias("n"))
     lead = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("class_id"), F.col("node").alias("class_node")))
