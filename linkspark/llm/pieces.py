@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_of
 
 SPACE = "▁"
-#: Words remembered by a Python worker (some 100 MB).
-REMEMBERED = 400_000
+#: Words remembered by a Python worker, of so many characters at most (some 100 MB):
+#: longer ones, as in texts without spaces, are encoded each time.
+REMEMBERED, LONGEST = 400_000, 64
 ROWS = 128
 
 
@@ -184,8 +185,9 @@ class Codec:
         self._learn(new)
         for words in split:
             yield np.frombuffer(b"".join([known[w] for w in words]), np.int32)
-        if len(known) > REMEMBERED:  # full: what came last is forgotten, the common words came first
-            for w in new:
+        full = len(known) > REMEMBERED  # what came last is forgotten, the common words came first
+        for w in new:
+            if full or len(w) > LONGEST:
                 del known[w]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
