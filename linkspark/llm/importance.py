@@ -1,21 +1,22 @@
 """Quality classifier by importance resampling.
 
 Words and word pairs are hashed into buckets; a target model is learned from
-documents labelled as good, a raw model from all documents. A document's log weight
-is the mean log ratio of the two over its n-grams times a fixed number of n-grams,
-so that length alone decides nothing. Gumbel noise, drawn from a hash of id and text,
-is added, and the documents with the largest sums are the sample: a draw without
+documents labelled as good, a raw model from all documents. A document's weight is
+the ratio of its probabilities in the two models, so its log weight is the sum of
+log ratios over its n-grams. Gumbel noise, drawn from a hash of id and text, is
+added, and the documents with the largest sums are the sample: a draw without
 replacement in proportion to the weights.
 
 The target model uses a bounded sample, the TARGET_ROWS labelled rows first in the
 order of a hash. The raw model and the weights cover all documents. The sample's
 size is the share of good labels times the number of documents.
 
-Defined cases: a text without a word has weight 0 and log ratio -inf: it is kept
-last; null labels do not count; equal sums are ordered by id, then text; repeated
-rows share weight and noise, and are kept or not together at the edge by place; an
-empty table gives an empty result, a table without a good label keeps all; other
-columns of the input are not read, whatever their names.
+Defined cases: a text without a word has log ratio -inf and comes last, by id; null
+labels do not count; equal sums are ordered by id, then text; repeated rows share
+weight and noise, and are kept or not together, but at the edge of the sample, where
+the number of them that fits is kept; an empty table gives an empty result, a table
+without a good label keeps all; other columns of the input are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from .neardup import _SPACE, _mix
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 4000
-#: The number of n-grams whose evidence a document's mean stands for.
-EVIDENCE = 150.0
 SEED = 11
+#: Rows of a range of the sorted keys, of which one is ranked.
+RANGE_ROWS = 500_000
 ROWS = 64
 U = np.uint64
 
@@ -81,7 +82,7 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return smooth(target) - smooth(raw)
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text", evidence: float = EVIDENCE, seed: int = SEED) -> DataFrame:
+def weighted(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """``id, h, log_ratio, gumbel_key``."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
     t = text_of(docs, text)
@@ -93,47 +94,35 @@ def weighted(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str
                 part = batch.slice(at, ROWS)
                 owner, bucket = ngrams([x.encode() for x in part.column(2).to_pylist()])
                 n = np.bincount(owner, minlength=part.num_rows)
-                sums = np.bincount(owner, sent.value[bucket], part.num_rows)
-                mean = np.where(n > 0, sums / np.maximum(n, 1), -np.inf)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(mean, pa.float64())], names=["id", "h", "log_ratio"])
+                sums = np.where(n > 0, np.bincount(owner, sent.value[bucket], part.num_rows), -np.inf)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sums, pa.float64())], names=["id", "h", "log_ratio"])
 
     found = map_batches(only, run, f"id {dict(only.dtypes)['id']}, h long, log_ratio double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "h"), 11).cast("double") + 0.5) / float(1 << 53)
-    return found.withColumn("gumbel_key", F.col("log_ratio") * evidence - F.log(-F.log(uniform)))
-
-
-def top(rows: DataFrame, k: int, bins: int = 4096) -> DataFrame:
-    """``rows`` with ``kept``: the k with the largest ``gumbel_key``. A histogram finds
-    the bin that the k-th falls in, then its bin, and so on; only the last is ranked."""
-    finite = F.col("gumbel_key") > float("-inf")
-    low, high, n = rows.agg(F.min(F.when(finite, F.col("gumbel_key"))), F.max("gumbel_key"), F.count(F.lit(1))).first()
-    if k >= n or low is None:
-        return rows.withColumn("kept", F.lit(k >= n) | F.lit(low is None and k > 0))
-    left = k
-    for _ in range(8):
-        width = (high - low) / bins
-        inside = rows.where(F.col("gumbel_key").between(low, high))
-        if width <= abs(high) * 1e-15:
+    return found.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform)))
+
+
+def top(rows: DataFrame, k: int, bins: int | None = None) -> DataFrame:
+    """``rows`` with ``kept``: the k first by ``gumbel_key``, largest first, then id, text
+    and place. The rows, narrow ones, are sorted into ``bins`` ranges, by default of
+    some RANGE_ROWS, and only the range that the k-th falls in is ranked. Equal keys go
+    on over as many ranges as they need."""
+    n = rows.count()
+    if k >= n or k <= 0:
+        return rows.withColumn("kept", F.lit(k > 0))
+    order = [F.desc("gumbel_key"), F.asc("id"), F.asc("h"), F.asc("place")]
+    at_least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(bins or max(at_least, n // RANGE_ROWS), *order)
+    dealt = cut(dealt.withColumn("range", F.spark_partition_id()))
+    before = edge = 0
+    for r in dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect():  # a row for each range
+        edge = r["range"]
+        if before + r["n"] >= k:
             break
-        counts = {r["bin"]: r["n"] for r in inside.groupBy(F.least(F.floor((F.col("gumbel_key") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `bins` rows
-        for b in range(bins - 1, -1, -1):
-            if counts.get(b, 0) >= left:
-                break
-            left -= counts.get(b, 0)
-        else:  # fewer finite keys than k: the others follow
-            return rows.withColumn("kept", finite)
-        small = counts.get(b, 0) <= 10_000
-        # bounds as the bins have them, so that no row is in two bins
-        inside = rows.where(F.col("gumbel_key").between(low, high)).where(F.least(F.floor((F.col("gumbel_key") - low) / width), F.lit(bins - 1)) == b)
-        low, high = inside.agg(F.min("gumbel_key"), F.max("gumbel_key")).first()
-        if small or low == high:
-            break
-    edge = F.col("gumbel_key").between(low, high)
-    order = Window.partitionBy("edge").orderBy(F.desc("gumbel_key"), "id", "h")
-    above = rows.where(F.col("gumbel_key") > high).withColumn("kept", F.lit(True))
-    below = rows.where(F.col("gumbel_key") < low).withColumn("kept", F.lit(False))
-    at = rows.where(edge).withColumn("edge", F.lit(1)).withColumn("kept", F.row_number().over(order) <= left).drop("edge")
-    return above.unionByName(below).unionByName(at)
+        before += r["n"]
+    ranked = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    inside = dealt.where(F.col("range") == edge).withColumn("kept", ranked <= k - before)
+    return dealt.where(F.col("range") != edge).withColumn("kept", F.col("range") < edge).unionByName(inside).drop("range", "place")
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality", share: float | None = None) -> DataFrame:
