@@ -4,12 +4,19 @@ Each learned language has one model of the characters in its words, up to four
 characters of context, begun and ended at word edges. Counts of every order are
 hashed and sorted; a row of the arrays holds the finished log-probability for each
 language, so one search serves all. A text goes to the language with the lowest
-cross-entropy per character; it is rejected if even that is above what the
-language's own held-back texts of such length show.
+cross-entropy per character.
+
+A text is rejected if its excess over the language's mean, times the root of its
+length (400 characters at most), is over a limit. The limit is calibrated for each
+language between the excesses of its own held-back texts (the OWN quantile) and those
+of strangers (the OTHER quantile): the held-back texts of other languages, and its own
+ones with their letters in random order. It lies MARGIN of the way to the strangers,
+and at the largest of its own excesses if these reach them.
 
 Learning uses a bounded sample: for each language the texts first in the order of a
-hash, up to SAMPLE_TEXTS whole texts and SAMPLE_CHARS characters. Every text is
-predicted whole.
+hash, up to SAMPLE_TEXTS whole texts and SAMPLE_CHARS characters; texts of more than a
+tenth of that are not learned from. Every tenth text is held back, or, of fewer than
+ten, none: then its training texts stand in. Every text is predicted whole.
 
 Defined cases: a null text, or one without a letter, gives ``und``, score 0, not
 accepted; equal cross-entropies go to the language first by name; repeated rows
@@ -34,8 +41,12 @@ from .common import map_batches, text_of
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 600_000
 ORDER = 5
-#: Words that a task remembers the scores of.
-REMEMBERED = 300_000
+#: Words that a task remembers the scores of, and the characters of the longest one.
+REMEMBERED, LONGEST = 300_000, 64
+#: Quantiles of excesses that set the limit, and its place between them.
+OWN, OTHER, MARGIN = 0.98, 0.02, 0.5
+#: Characters from which on a text's length makes its limit no tighter.
+FULL = 400
 ROWS = 256
 UNKNOWN = "und"
 EDGE = 0
@@ -60,7 +71,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     hashes, run = [], np.zeros(len(codes), np.uint64)
     for n in range(ORDER):
         back = np.zeros(len(codes), np.uint64)
-        back[n:] = codes[: len(codes) - n] + np.uint64(1)
+        back[n:] = codes[: max(0, len(codes) - n)] + np.uint64(1)
         power = pow(0x9E3779B97F4A7C15, n + 1, 1 << 64)
         mixed = (back ^ (back >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9)
         run = run + (mixed ^ (mixed >> np.uint64(29))) * np.uint64(power)
@@ -95,36 +106,37 @@ class Model:
         """Log-probability of each word, end included, in each language."""
         if not self.languages:
             return np.zeros((len(words), 0))
-        owner, context, hashes = _grams(words)
-        found = np.zeros((len(owner), len(self.languages)), np.float32)
-        todo, at = np.arange(len(owner)), context.copy()
-        while len(todo):
-            left = []
-            for n in range(ORDER - 1, -1, -1):
-                now = todo[at[todo] == n]
-                if not len(now):
-                    continue
-                asked, back = np.unique(hashes[n][now], return_inverse=True)
-                row = _find(self.grams[n], asked)[back]
-                hit = row >= 0
-                found[now[hit]] += self.logs[n][row[hit]]
-                miss = now[~hit]
-                if n == 0:
-                    found[miss] += self.base
-                    continue
-                # the shorter context stands in, at the weight that this one leaves it
-                ctx = _context(hashes, n, miss)
-                row = _find(self.contexts[n], ctx)
-                hit = row >= 0
-                found[miss[hit]] += self.weights[n][row[hit]]
-                at[miss] = n - 1
-                left.append(miss)
-            todo = np.concatenate(left) if left else np.zeros(0, int)
+        owner, found = self.symbol_logs(words)
         out = np.zeros((len(words), len(self.languages)))
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(owner, found[:, k], len(words))
         return out
 
+    def symbol_logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of every letter and word end: its word's place, and its log-probability in
+        each language."""
+        owner, context, hashes = _grams(words)
+        found = np.zeros((len(owner), len(self.languages)), np.float32)
+        at = context.copy()
+        for n in range(ORDER - 1, -1, -1):
+            now = np.flatnonzero(at == n)
+            if not len(now):
+                continue
+            asked, back = np.unique(hashes[n][now], return_inverse=True)
+            row = _find(self.grams[n], asked)[back]
+            hit = row >= 0
+            found[now[hit]] += self.logs[n][row[hit]]
+            miss = now[~hit]
+            if n == 0:  # never seen: the weight that seen symbols leave, evenly over all
+                found[miss] += self.weights[0][0] + self.base
+                continue
+            # the shorter context stands in, at the weight that this one leaves it
+            row = _find(self.contexts[n], _context(hashes, n, miss))
+            hit = row >= 0
+            found[miss[hit]] += self.weights[n][row[hit]]
+            at[miss] = n - 1
+        return owner, found
+
 
 def _context(hashes: list[np.ndarray], n: int, which: np.ndarray) -> np.ndarray:
     """Hashes of the n characters before the last one of n-grams of order n + 1: the
@@ -195,20 +207,30 @@ def learn(texts: dict[str, list[str]]) -> Model:
     return _calibrate(model, texts)
 
 
+def shuffled(text: str, seed: int) -> str:
+    """The words of a text with all its letters in random order."""
+    words = [w for x in text.split() if (w := letters(x))]
+    mixed = iter(np.random.default_rng(seed).permutation(list("".join(words))).tolist())
+    return " ".join("".join(next(mixed) for _ in w) for w in words)
+
+
 def _calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
     held = [(k, t) for k, name in enumerate(model.languages) for i, t in enumerate(texts[name]) if i % 10 == 9 or len(texts[name]) < 10]
     scorer = Scorer(model)
     of = [(k, *scorer.entropy(t)) for k, t in held]
     of = [(k, e, n) for k, e, n in of if n]
+    noise = [(k, *scorer.entropy(shuffled(t, i))) for i, (k, t) in enumerate(held)]
     for k in range(len(model.languages)):
         own = np.array([(e[k], n) for j, e, n in of if j == k])
         if not len(own):
             model.limits[k] = (0.0, np.inf)
             continue
         mean = np.average(own[:, 0], weights=own[:, 1])
-        # excess over the mean shrinks with the root of the length
-        excess = (own[:, 0] - mean) * np.sqrt(np.minimum(own[:, 1], 400))
-        model.limits[k] = (mean, 2 * max(excess.max(), 10.0))
+        excess = lambda rows: np.array([(e - mean) * np.sqrt(min(n, FULL)) for e, n in rows])  # noqa: E731, B023
+        inner = excess(own)
+        outer = excess([(e[k], n) for j, e, n in of if j != k] + [(e[k], n) for j, e, n in noise if j == k and n])
+        low, high = np.quantile(inner, OWN), np.quantile(outer, OTHER) if len(outer) else np.inf
+        model.limits[k] = (mean, low + MARGIN * (high - low) if high > low else inner.max())
     best = np.inf
     for sharp in (0.5, 1, 2, 4, 8, 16, 32):
         loss = sum(np.log(np.exp(-sharp * np.sqrt(n) * (e - e[k])).sum()) for k, e, n in of)
@@ -223,11 +245,14 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known, self.rows, self.used = model, {}, np.zeros((1024, len(model.languages) + 1)), 0
 
-    def _learn(self, texts: list[str]) -> list[Counter]:
+    def _learn(self, texts: list[str]) -> tuple[list[Counter], dict[str, int]]:
+        """The words of each text, and the row of every word that is not remembered:
+        long words, whose rows are overwritten by what comes next."""
         counts = [Counter(t.split()) for t in texts]
         if self.used > REMEMBERED:
             self.known, self.used = {}, 0
-        new = [w for w in set().union(*counts) if w not in self.known]
+        new = sorted((w for w in set().union(*counts) if w not in self.known), key=lambda w: len(w) > LONGEST)
+        short = sum(len(w) <= LONGEST for w in new)
         if new:
             plain = [letters(w) for w in new]
             have = [i for i, w in enumerate(plain) if w]
@@ -238,15 +263,18 @@ class Scorer:
             while self.used + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[self.used : self.used + len(new)] = rows
-            self.known.update(zip(new, range(self.used, self.used + len(new)), strict=True))
-            self.used += len(new)
-        return counts
+            at = dict(zip(new, range(self.used, self.used + len(new)), strict=True))
+            self.known.update((w, at[w]) for w in new[:short])
+            self.used += short
+            return counts, {w: at[w] for w in new[short:]}
+        return counts, {}
 
     def entropies(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
         """Each text's cross-entropy in each language, and its characters counted."""
-        for count in self._learn(texts):
-            known = self.known
-            at = np.fromiter((known[w] for w in count), np.int64, len(count))
+        counts, once = self._learn(texts)
+        known = self.known
+        for count in counts:
+            at = np.fromiter((known[w] if w in known else once[w] for w in count), np.int64, len(count))
             sums = np.fromiter(count.values(), np.float64, len(count)) @ self.rows[at]
             yield -sums[:-1] / max(sums[-1], 1), int(sums[-1])
 
@@ -262,7 +290,7 @@ class Scorer:
             k = int(np.argmin(e))
             mean, allowed = model.limits[k]
             score = 1 / np.exp(-model.sharpness * np.sqrt(n) * (e - e[k])).sum()
-            yield model.languages[k], float(score), bool((e[k] - mean) * np.sqrt(min(n, 400)) <= allowed)
+            yield model.languages[k], float(score), bool((e[k] - mean) * np.sqrt(min(n, FULL)) <= allowed)
 
 
 def held_out(key: Column) -> Column:
