@@ -44,6 +44,9 @@ PLACES = BANDS * ROWS_PER_BAND
 ROWS = 64
 #: Bits of a bitmap for each distinct shingle, at least.
 BITS_EACH = 4
+#: Words of the short bitmap that goes with every shingle of a document.
+FEW = 8
+TEXTS = "node long, total long, bits array<long>, few array<long>, t string"
 #: Partners of one document that are compared in one place.
 LOT = 256
 #: Rounds of stars go on while one finds a link for every so many of the first round.
@@ -167,9 +170,10 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return map_batches(only, run, f"id {dict(only.dtypes)['id']}, node long, bands array<long>")
 
 
-def bitmap(shingle: np.ndarray) -> np.ndarray:
-    """A bit for every distinct shingle, in a power of two of bits, at least four for each."""
-    words = 1 << max(0, int(np.ceil(np.log2(max(len(shingle), 1) * BITS_EACH / 64))))
+def bitmap(shingle: np.ndarray, words: int | None = None) -> np.ndarray:
+    """A bit for every distinct shingle, in ``words`` times 64 bits, by default the power
+    of two that has BITS_EACH at least for each."""
+    words = words or 1 << max(0, int(np.ceil(np.log2(max(len(shingle), 1) * BITS_EACH / 64))))
     place = _mix(shingle) & U(words * 64 - 1)
     out = np.zeros(words, U)
     np.bitwise_or.at(out, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
@@ -177,8 +181,8 @@ def bitmap(shingle: np.ndarray) -> np.ndarray:
 
 
 def with_bits(texts: DataFrame) -> DataFrame:
-    """``node, total, bits, t`` of ``node, t``: the number of shingles, repeats counted,
-    and the bitmap of the distinct ones."""
+    """``node, total, bits, few, t`` of ``node, t``: the number of shingles, repeats
+    counted, the bitmap of the distinct ones, and that in FEW words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,9 +194,11 @@ def with_bits(texts: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in maps])]).astype(np.int32)
                 total = np.bincount(owner, count, part.num_rows).astype(np.int64)
                 packed = pa.ListArray.from_arrays(offsets, np.concatenate(maps).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), packed, part.column(1)], names=["node", "total", "bits", "t"])
+                few = np.concatenate([bitmap(shingle[i:j], FEW) for i, j in zip(edges[:-1], edges[1:], strict=True)]).view(np.int64)
+                small = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * FEW, few)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), packed, small, part.column(1)], names=["node", "total", "bits", "few", "t"])
 
-    return map_batches(texts.select("node", "t"), run, "node long, total long, bits array<long>, t string")
+    return map_batches(texts.select("node", "t"), run, TEXTS)
 
 
 def may_reach(a: str, n_a: str, b: str, n_b: str, threshold: float) -> Column:
@@ -283,7 +289,8 @@ def _sharing_rare(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     y <= 1 - q, and a pair may be left out unless a shared shingle has small enough p
     and q. Rare shingles come first, so that documents with nothing but a common
     passage between them do not meet. How common a shingle is comes from a sample; it
-    decides the order alone, not the result. Bitmaps bound x and y once more.
+    decides the order alone, not the result. Bitmaps bound x and y once more, short ones
+    in the join and the whole ones after it.
     """
     common = rows.sparkSession.sparkContext.broadcast(_often(rows))
     over = 1 - threshold + SLACK
@@ -310,11 +317,11 @@ def _sharing_rare(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
     leads = cut(map_batches(rows.select("node", "label", "t"), run, "shingle long, node long, label long, ahead double"))
     met = leads.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    leads = cut(leads.join(met, "shingle").join(texts.select("node", "total", "bits"), "node"))
-    side = lambda node, label, ahead, total, bits: leads.select("shingle", F.col("node").alias(node), F.col("label").alias(label), F.col("ahead").alias(ahead), F.col("total").alias(total), F.col("bits").alias(bits))
+    leads = cut(leads.join(met, "shingle").join(texts.select("node", "total", "few"), "node"))
+    side = lambda node, label, ahead, total, few: leads.select("shingle", F.col("node").alias(node), F.col("label").alias(label), F.col("ahead").alias(ahead), F.col("total").alias(total), F.col("few").alias(few))
     both = side("a", "la", "p", "na", "x").join(side("b", "lb", "q", "nb", "y"), "shingle")
     both = both.where(f"la < lb and 1 / (1 - p) + 1 / (1 - q) <= {1 + 1 / threshold + SLACK!r}").where(may_reach("x", "na", "y", "nb", threshold))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return possible(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, threshold)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -354,7 +361,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts = asked.join(all_texts, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "t").dropDuplicates(["node"])
     spark, at = docs.sparkSession, new_path(docs.sparkSession, "texts")
     with_bits(texts).write.parquet(at)
-    texts = spark.read.schema("node long, total long, bits array<long>, t string").parquet(at)
+    texts = spark.read.schema(TEXTS).parquet(at)
 
     # stars: each bucket's centre against the others; then, of those that are in no class
     # of their centre, a new centre against the others, as long as that finds many links
