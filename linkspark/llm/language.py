@@ -43,8 +43,8 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 600, 600_000
 ORDER = 5
 #: Words that a task remembers the scores of, and the characters of the longest one.
 REMEMBERED, LONGEST = 300_000, 64
-#: Quantiles of excesses that set the limit, and its place between them.
-OWN, OTHER, MARGIN = 0.98, 0.02, 0.5
+#: The quantile of a language's own excesses, and the limit's place between it and strangers.
+OWN, MARGIN = 0.98, 0.75
 #: Characters from which on a text's length makes its limit no tighter.
 FULL = 400
 ROWS = 256
@@ -228,8 +228,8 @@ def _calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
         mean = np.average(own[:, 0], weights=own[:, 1])
         excess = lambda rows: np.array([(e - mean) * np.sqrt(min(n, FULL)) for e, n in rows])  # noqa: E731, B023
         inner = excess(own)
-        outer = excess([(e[k], n) for j, e, n in of if j != k] + [(e[k], n) for j, e, n in noise if j == k and n])
-        low, high = np.quantile(inner, OWN), np.quantile(outer, OTHER) if len(outer) else np.inf
+        kinds = [[(e[k], n) for j, e, n in of if j == other] for other in range(len(model.languages)) if other != k] + [[(e[k], n) for j, e, n in noise if j == k and n]]
+        low, high = np.quantile(inner, OWN), min((np.median(excess(rows)) for rows in kinds if rows), default=np.inf)
         model.limits[k] = (mean, low + MARGIN * (high - low) if high > low else inner.max())
     best = np.inf
     for sharp in (0.5, 1, 2, 4, 8, 16, 32):
