@@ -48,11 +48,11 @@ def norm_phone_legacy(phone: Column) -> Column:
 
 
 def party_phone(phone: Column) -> Column:
-    """A call record's party: country code or trunk zero off by length; names stay."""
-    t = F.regexp_replace(F.trim(phone), r"\.0$", "")
-    d = F.regexp_replace(t, r"[^0-9]", "")
-    digits = t.rlike(r"^[+0-9 \-]+$")
-    return F.when(digits & (F.length(d) == 12) & d.startswith("91"), F.right(d, F.lit(10))).when(digits & (F.length(d) == 11) & d.startswith("0"), F.right(d, F.lit(10))).when(digits, d).otherwise(t)
+    """A call record's party: letters, digits, underscores and hyphens; of digits alone
+    the country code or trunk zero is taken off by length."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(phone), r"\.0$", ""), r"[^\w-]", "")
+    code = (F.length(t) == 12) & t.startswith("91") | (F.length(t) == 11) & t.startswith("0")
+    return blank(F.when(t.rlike(r"^\d+$") & code, F.right(t, F.lit(10))).otherwise(t))
 
 
 def strict_msisdn(phone: Column) -> Column:
@@ -137,7 +137,8 @@ def scrub(text: Column) -> Column:
 
 def call_type(text: Column) -> Column:
     """Operators' words for a call's kind."""
-    names = {"IN": "INCOMING", "OUT": "OUTGOING", "SMT": "SMS_IN", "SMO": "SMS_OUT", "A2P_SMSIN": "SMS_IN"}
+    # Their codes and what these mean.
+    names = {"IN": "INCOMING", "OUT": "OUTGOING", "SMT": "SMS INCOMING", "SMO": "SMS OUTGOING", "A2P_SMSIN": "SMS INCOMING"}
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     return F.coalesce(F.try_element_at(table, F.upper(F.trim(text))), F.upper(F.trim(text)))
 

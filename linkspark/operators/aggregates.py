@@ -57,22 +57,53 @@ def counterparty(account: Column, name: Column) -> Column:
     return F.when(~F.upper(c).isin("", "NONE", "NULL", "UNKNOWN", "NA", "-"), c)
 
 
-def account_stats(tx: DataFrame) -> DataFrame:
-    """The features of each account; counterparties as sorted sets."""
+def account_totals(tx: DataFrame) -> DataFrame:
+    """The features of each account but its counterparties: one narrow row for each."""
     i, o = X.incoming(F.col("direction")), X.outgoing(F.col("direction"))
-    cp = counterparty(F.col("counterparty_account"), F.col("counterparty_name"))
     return tx.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("tx_count"), when_sum(i, F.col("amount")).alias("inflow"), when_sum(o, F.col("amount")).alias("outflow"), F.count_if(i).alias("in_count"), F.count_if(o).alias("out_count"),
-        F.array_sort(F.collect_set(F.when(i, cp))).alias("in_parties"), F.array_sort(F.collect_set(F.when(o, cp))).alias("out_parties"), F.min("transaction_date").alias("first_at"), F.max("transaction_date").alias("last_at"),
-        F.count_if(X.is_round(F.col("amount"))).alias("round_count"))
+        F.count(F.lit(1)).alias("tx_count"),
+        when_sum(i, F.col("amount")).alias("inflow"),
+        when_sum(o, F.col("amount")).alias("outflow"),
+        F.count_if(i).alias("in_count"),
+        F.count_if(o).alias("out_count"),
+        F.min("transaction_date").alias("first_at"),
+        F.max("transaction_date").alias("last_at"),
+        F.count_if(X.is_round(F.col("amount"))).alias("round_count"),
+    )
+
+
+def party_pairs(tx: DataFrame, key: str) -> DataFrame:
+    """``key, incoming, outgoing, party``: each counterparty of a key once for each
+    combination of sides, which spreads a hub over many rows."""
+    i, o = X.incoming(F.col("direction")), X.outgoing(F.col("direction"))
+    cp = counterparty(F.col("counterparty_account"), F.col("counterparty_name"))
+    sides = tx.select(key, cp.alias("party"), i.alias("incoming"), o.alias("outgoing")).where("party is not null and (incoming or outgoing)")
+    return sides.groupBy(key, "party").agg(F.bool_or("incoming").alias("incoming"), F.bool_or("outgoing").alias("outgoing"))
 
 
-def entity_stats(tx: DataFrame, acc: DataFrame) -> DataFrame:
-    """Account features rolled up to owners."""
-    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    return account_stats(tx).join(acc.select("account_id", "entity_id"), "account_id").groupBy("entity_id").agg(
-        *[F.sum(c).alias(c) for c in ("tx_count", "inflow", "outflow", "in_count", "out_count")], union("in_parties").alias("in_parties"), union("out_parties").alias("out_parties"),
-        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("round_count").alias("round_count"))
+def account_stats(tx: DataFrame) -> DataFrame:
+    """The features of each account; counterparties as sorted sets, which are as long
+    as an account has counterparties: scores count them (entity_stats) instead."""
+    pairs = party_pairs(tx, "account_id")
+    named = lambda side: F.array_sort(F.collect_list(F.when(F.col(side), F.col("party"))))
+    parties = pairs.groupBy("account_id").agg(named("incoming").alias("in_parties"), named("outgoing").alias("out_parties"))
+    none = F.array().cast("array<string>")
+    out = account_totals(tx).join(parties, "account_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("in_parties", "out_parties")})
+
+
+def entity_stats(tx: DataFrame, acc: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Account features rolled up to owners; counterparties are counted over distinct
+    pairs of owner and counterparty. ``totals``: account_totals, if at hand."""
+    of = acc.select("account_id", "entity_id")
+    sums = (account_totals(tx) if totals is None else totals).join(of, "account_id").groupBy("entity_id").agg(
+        *[F.sum(c).alias(c) for c in ("tx_count", "inflow", "outflow", "in_count", "out_count")],
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        F.sum("round_count").alias("round_count"),
+    )
+    parties = party_pairs(owned(tx, acc), "entity_id").groupBy("entity_id").agg(F.count_if("incoming").cast("int").alias("in_parties"), F.count_if("outgoing").cast("int").alias("out_parties"))
+    return sums.join(parties, "entity_id", "left").na.fill(0, ["in_parties", "out_parties"])
 
 
 def telecom_stats(tel: DataFrame) -> DataFrame:
@@ -126,7 +157,11 @@ def money_flow(tx: DataFrame, k: int = 50) -> DataFrame:
 
 
 def ip_sessions(tel: DataFrame, k: int = 20) -> DataFrame:
-    return tel.where("event_type = 'IPDR' and ip_address <> ''").groupBy("ip_address").agg(F.count(F.lit(1)).alias("sessions"), F.array_join(F.array_sort(F.collect_set(F.nullif("msisdn", F.lit("")))), ",").alias("phones")).orderBy(F.desc("sessions"), "ip_address").limit(k)
+    """The k most used addresses; phones are gathered for these alone."""
+    net = tel.where("event_type = 'IPDR' and ip_address <> ''")
+    top = net.groupBy("ip_address").agg(F.count(F.lit(1)).alias("sessions")).orderBy(F.desc("sessions"), "ip_address").limit(k)
+    pairs = net.join(F.broadcast(top), "ip_address").groupBy("ip_address", "sessions", F.nullif("msisdn", F.lit("")).alias("phone")).agg(F.lit(1))
+    return pairs.groupBy("ip_address", "sessions").agg(F.array_join(F.array_sort(F.collect_list("phone")), ",").alias("phones")).orderBy(F.desc("sessions"), "ip_address")
 
 
 def phone_sessions(tel: DataFrame, k: int = 20) -> DataFrame:
@@ -153,10 +188,10 @@ def span_days(first: Column, last: Column) -> Column:
     return F.greatest(F.lit(1), F.datediff(last, first) + 1)
 
 
-def norms(tx: DataFrame) -> DataFrame:
+def norms(tx: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """The case's distributions, over accounts: inflow and outflow above 0, and
     transactions a day. ``measure, value, n``: counts of equal values."""
-    s = account_stats(tx)
+    s = account_totals(tx) if totals is None else totals
     per_day = F.col("tx_count") / span_days(F.col("first_at"), F.col("last_at"))
     rows = s.select(F.explode(F.array(F.struct(F.lit("inflow").alias("measure"), F.col("inflow").alias("value")), F.struct(F.lit("outflow").alias("measure"), F.col("outflow").alias("value")), F.struct(F.lit("per_day").alias("measure"), per_day.alias("value")))).alias("x")).select("x.*")
     return rows.where("value > 0").groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ KEYWORDS = {
     "cctv": (("cctv", 7), ("camera", 3), ("dvr", 4), ("nvr", 4), ("footage", 5), ("recording", 3), ("surveillance", 4), ("channel no", 3), ("video clip", 4), ("hard disk", 2)),
     "bank": (("account statement", 6), ("bank statement", 7), ("statement of account", 6), ("opening balance", 4), ("closing balance", 4), ("withdrawal", 3), ("deposit", 2), ("ifsc", 4), ("account number", 3), ("a/c no", 3), ("transaction", 2), ("upi", 3), ("imps", 3), ("neft", 3), ("rtgs", 3), ("debit", 2), ("credit", 2), ("branch", 1)),
 }
+# The least score of a kind, and the least lead over the next.
 MIN_SCORE, MIN_MARGIN = 4, 2
 # Header patterns and weights, in the order in which near-ties are decided.
 HEADERS = {
@@ -19,9 +20,9 @@ HEADERS = {
     "ipdr": ((r"msisdn|landline.*internet", 6), (r"public\s*ip|source\s*ip|destination\s*ip|ip\s*address", 5), (r"data\s*volume", 4), (r"pgw|session\s*duration|access\s*point", 3)),
     "bank": ((r"\bupi\b", 5), (r"description|narration|particulars", 4), (r"balance\s*closing|closing\s*balance", 5), (r"\bbalance\b", 2), (r"debit|credit|withdrawal|deposit|\bdr\s*amt\b|\bcr\s*amt\b|\bdr\b|\bcr\b", 3), (r"transaction\s*(id|date|amount)|tran\s*(id|date|type)|account\s*number|\bac\s*no\b|\bac\s*name\b", 3), (r"\bifsc\b|value\s*date|value\s*dt|pstd\s*dt", 2), (r"\bcust\s*id\b|\bcrncy\b", 2)),
 }
+# The least scores, and the headers of core-banking exports.
 HEADER_MIN, HEADER_SECOND = 5, 5
 CORE_BANKING = (r"\btran\s*id\b", r"\btran\s*date\b", r"\bpstd\s*dt\b", r"\bdr\s*amt\b", r"\bcr\s*amt\b", r"\bcust\s*id\b")
-TEXT_CAP = 8000
 
 
 def _total(rules, test) -> Column:

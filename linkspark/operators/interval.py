@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lts: str, rts: str, lo: int, hi: int, how: str = "inner") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lts: str, rts: str, lo: int, hi: int) -> DataFrame:
     """Rows with equal ``keys`` and ``rts`` within [lts + lo, lts + hi] seconds.
 
     Time is cut into buckets as wide as the interval; a left row looks into the two
@@ -19,10 +19,4 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lts: str,
     wide = left.withColumn("_bucket", F.explode(F.array(at, at + 1)))
     slim = right.withColumn("_bucket", F.floor(F.unix_timestamp(F.col(rts).cast("timestamp")) / width))
     gap = F.unix_timestamp(F.col(rts).cast("timestamp")) - F.unix_timestamp(F.col(lts).cast("timestamp"))
-    found = wide.join(slim, [*keys, "_bucket"]).where(gap.between(lo, hi)).drop("_bucket")
-    if how == "inner":
-        return found
-    # left rows without a partner: one row each
-    have = found.select(*left.columns).distinct()
-    rest = left.join(have, left.columns, "left_anti") if left.columns else left
-    return found.unionByName(rest, allowMissingColumns=True)
+    return wide.join(slim, [*keys, "_bucket"]).where(gap.between(lo, hi)).drop("_bucket")

@@ -32,8 +32,8 @@ def pct_ranks(values: DataFrame, norms: DataFrame) -> DataFrame:
 
 def features(ev) -> DataFrame:
     """One row for each entity, those without a ledger included."""
-    tel = A.telecom_stats(ev.tel)
-    base = ev.ent.select("entity_id", "entity_name", "is_seed", "phone").join(A.entity_stats(ev.tx, ev.acc), "entity_id", "left")
+    tel, totals = A.telecom_stats(ev.tel), A.account_totals(ev.tx)
+    base = ev.ent.select("entity_id", "entity_name", "is_seed", "phone").join(A.entity_stats(ev.tx, ev.acc, totals), "entity_id", "left")
     base = base.join(tel.select("phone", "cdr", "ipdr", F.col("first_at").alias("tel_first"), F.col("last_at").alias("tel_last")), "phone", "left")
     counts = ["tx_count", "in_count", "out_count", "in_parties", "out_parties", "round_count", "cdr", "ipdr"]
     base = base.na.fill(0, counts).na.fill(0.0, ["inflow", "outflow"])
@@ -41,7 +41,7 @@ def features(ev) -> DataFrame:
     base = base.withColumn("ratio", F.when(F.col("inflow") > 0, F.col("outflow") / F.col("inflow")).otherwise(0.0)).withColumn("per_day", F.coalesce(F.col("tx_count") / F.col("span"), F.lit(0.0)))
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("inflow", "outflow", "per_day")])
     values = base.select(F.col("entity_id").alias("key"), F.explode(pairs).alias("x")).select("key", "x.*")
-    ranks = pct_ranks(values, A.norms(ev.tx)).groupBy("key").agg(*[F.max(F.when(F.col("measure") == m, F.col("rank"))).alias(f"{m}_rank") for m in ("inflow", "outflow", "per_day")])
+    ranks = pct_ranks(values, A.norms(ev.tx, totals)).groupBy("key").agg(*[F.max(F.when(F.col("measure") == m, F.col("rank"))).alias(f"{m}_rank") for m in ("inflow", "outflow", "per_day")])
     return base.join(ranks, base["entity_id"] == ranks["key"]).drop("key")
 
 

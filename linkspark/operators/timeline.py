@@ -65,8 +65,13 @@ def heatmap(ev) -> DataFrame:
 def daily_bursts(ev, least: int = 3, total: int = 100_000) -> DataFrame:
     """Days on which seed accounts moved much in several transfers."""
     rows = ev.tx.join(ev.acc.where("is_seed").select("account_id"), "account_id", "left_semi")
-    g = rows.groupBy(F.to_date("transaction_date").alias("day")).agg(F.count(F.lit(1)).alias("transfers"), F.sum("amount").cast("double").alias("total"), F.array_join(F.slice(F.array_sort(F.collect_set("account_id")), 1, 6), ",").alias("accounts"))
+    per = rows.groupBy(F.to_date("transaction_date").alias("day"), "account_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    g = per.groupBy("day").agg(F.sum("n").alias("transfers"), F.sum("amount").cast("double").alias("total"))
     g = g.where((F.col("transfers") >= least) & (F.col("total") >= total))
+    # the six accounts that are shown, found by rank
+    first = per.withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy("account_id"))).where("r <= 6")
+    names = first.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list("account_id")), ",").alias("accounts"))
+    g = g.join(names, "day")
     return g.withColumn("score", F.least(F.lit(95), 40 + F.least(F.lit(30), F.col("transfers")) + F.when(F.col("total") > 500_000, 20).otherwise(10)).cast("long"))
 
 

@@ -92,11 +92,20 @@ query("convergence_48h", lambda ev: P.convergence(ev.tx, ev.acc), f"""+o AS (SEL
 CALLS = OWNED + ", calls AS (SELECT t.event_id, t.msisdn, t.event_at AS call_at, t.b_party, e.entity_id FROM tel t LEFT JOIN ent e ON t.msisdn = e.phone WHERE event_type = 'CDR')"
 query("call_before_transfer", P.call_before_transfer, CALLS + """ SELECT o.entity_id, transaction_id, account_id, transaction_date, amount::DOUBLE AS amount, count(*) AS calls, string_agg(event_id, ',' ORDER BY event_id) AS call_ids FROM own o JOIN calls c ON c.entity_id = o.entity_id
  AND c.call_at >= transaction_date - INTERVAL 15 MINUTES AND c.call_at < transaction_date WHERE b_party <> '' GROUP BY 1, 2, 3, 4, 5""")
-CORR = CALLS + """, met AS (SELECT c.event_id, c.call_at, o.entity_id, o.transaction_id, o.transaction_date, o.amount::DOUBLE AS amount,
- CASE WHEN abs(epoch(o.transaction_date) - epoch(c.call_at)) <= 600 THEN 1 ELSE 2 END AS tier FROM calls c JOIN own o ON c.entity_id = o.entity_id WHERE abs(epoch(o.transaction_date) - epoch(c.call_at)) <= 600 OR o.transaction_date::DATE = c.call_at::DATE),
+# a narration's clock, in the four forms that the ledger has
+SAID_CLOCK = """CASE WHEN regexp_matches(narration, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}') THEN transaction_date::DATE + regexp_extract(narration, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}')::TIME
+ WHEN try_strptime(regexp_extract(narration, '[0-9]{14}'), '%d%m%Y%H%M%S')::DATE = transaction_date::DATE THEN strptime(regexp_extract(narration, '[0-9]{14}'), '%d%m%Y%H%M%S')
+ WHEN try_strptime(regexp_extract(narration, '[0-9]{14}'), '%Y%m%d%H%M%S')::DATE = transaction_date::DATE THEN strptime(regexp_extract(narration, '[0-9]{14}'), '%Y%m%d%H%M%S')
+ WHEN regexp_extract(narration, '([0-9]{8})/[0-9]{6}', 1) = strftime(transaction_date, '%Y%m%d') THEN strptime(replace(regexp_extract(narration, '[0-9]{8}/[0-9]{6}'), '/', ''), '%Y%m%d%H%M%S') END"""
+CORR = CALLS + f""", met AS (SELECT c.event_id, c.call_at, o.entity_id, o.transaction_id, o.transaction_date, o.amount::DOUBLE AS amount, o.narration,
+ CASE WHEN abs(epoch(o.transaction_date) - epoch(c.call_at)) <= 600 THEN 1 ELSE 2 END AS tier FROM calls c JOIN own o ON c.entity_id = o.entity_id
+ WHERE abs(epoch(o.transaction_date) - epoch(c.call_at)) <= 600 OR o.transaction_date::DATE = c.call_at::DATE),
  best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tier, amount DESC, transaction_id DESC) = 1),
- corr AS (SELECT *, CASE WHEN transaction_date::TIME <> TIME '00:00:00' THEN abs(epoch(transaction_date) - epoch(call_at)) ELSE 0 END::BIGINT AS delta_sec, CASE WHEN transaction_date::TIME <> TIME '00:00:00' THEN 'statement' ELSE 'linked_cdr' END AS time_source,
- CASE WHEN transaction_date::TIME <> TIME '00:00:00' THEN greatest(40.0, least(98.0, 100 - abs(epoch(transaction_date) - epoch(call_at)) / 10)) ELSE 74.0 END::DOUBLE AS score FROM best)"""
+ told AS (SELECT *, transaction_date::TIME <> TIME '00:00:00' AS clock, {SAID_CLOCK} AS said FROM best),
+ paid AS (SELECT *, abs(epoch(CASE WHEN clock THEN transaction_date ELSE said END) - epoch(call_at)) AS gap FROM told),
+ corr AS (SELECT event_id, call_at, entity_id, transaction_id, transaction_date, amount, tier, coalesce(gap, 0)::BIGINT AS delta_sec,
+ CASE WHEN clock THEN 'statement' WHEN said IS NOT NULL THEN 'narration' ELSE 'linked_cdr' END AS time_source,
+ CASE WHEN gap IS NOT NULL THEN greatest(40.0, least(98.0, 100 - gap / 10)) ELSE 74.0 END::DOUBLE AS score FROM paid)"""
 query("call_transfer_correlation", P.call_transfer_correlation, CORR + " SELECT * FROM corr")
 query("nearest_ipdr", P.nearest_session, CORR + """, net AS (SELECT event_id AS session_id, msisdn AS user_no, event_at AS session_at, ip_address FROM tel WHERE event_type = 'IPDR'),
  near AS (SELECT c.event_id, n.session_id, n.ip_address, abs(epoch(n.session_at) - epoch(c.call_at))::BIGINT AS gap_sec, CASE WHEN abs(epoch(n.session_at) - epoch(c.call_at)) <= 7200 AND (n.user_no = k.msisdn OR n.user_no = '') THEN 1 ELSE 2 END AS tier

@@ -71,7 +71,7 @@ def _sql(s: str) -> str:
 
 
 def _doc_sql(table: str, key: str, text: str) -> str:
-    norm = f"lower(trim(regexp_replace(substr(replace(coalesce({text}, ''), chr(0), ' '), 1, {C.TEXT_CAP}), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))"
+    norm = f"lower(trim(regexp_replace(replace(coalesce({text}, ''), chr(0), ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))"
     sums = ", ".join("(" + " + ".join(f"CASE WHEN contains(t, {_sql(p.strip())}) THEN {w} ELSE 0 END" for p, w in rules) + f")::INT AS {k}" for k, rules in C.KEYWORDS.items())
     return f"""WITH n AS (SELECT {key}, {norm} AS t FROM {table}), s AS (SELECT {key}, t, {sums} FROM n),
  r AS (SELECT *, greatest(fir, kyc, cctv, bank) AS best, list_sort([fir, kyc, cctv, bank], 'DESC')[2] AS second FROM s)

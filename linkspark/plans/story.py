@@ -8,7 +8,7 @@ from ..operators import graph as G
 from ..operators import reports as R
 from ..operators import timeline as T
 from ..sources.views import DUCK, evidence
-from .core import CORR, DEST, HUBS, OWNED
+from .core import CORR, DEST, HUBS, OWNED, SAID_CLOCK
 from .risk import BOARD
 
 QUERIES: dict = {}
@@ -20,11 +20,7 @@ def query(name, plan, sql) -> None:
     ORACLE_SQL[name] = DUCK + ", " + sql.lstrip().removeprefix("+")
 
 
-# a narration's clock, in the four forms that the ledger has
-SAID = """said AS (SELECT *, CASE WHEN regexp_matches(narration, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}') THEN transaction_date::DATE + regexp_extract(narration, '[0-9]{1,2}:[0-9]{2}:[0-9]{2}')::TIME
- WHEN try_strptime(regexp_extract(narration, '[0-9]{14}'), '%d%m%Y%H%M%S')::DATE = transaction_date::DATE THEN strptime(regexp_extract(narration, '[0-9]{14}'), '%d%m%Y%H%M%S')
- WHEN try_strptime(regexp_extract(narration, '[0-9]{14}'), '%Y%m%d%H%M%S')::DATE = transaction_date::DATE THEN strptime(regexp_extract(narration, '[0-9]{14}'), '%Y%m%d%H%M%S')
- WHEN regexp_extract(narration, '([0-9]{8})/[0-9]{6}', 1) = strftime(transaction_date, '%Y%m%d') THEN strptime(replace(regexp_extract(narration, '[0-9]{8}/[0-9]{6}'), '/', ''), '%Y%m%d%H%M%S') END AS said, transaction_date::TIME <> TIME '00:00:00' AS clock FROM own)"""
+SAID = f"said AS (SELECT *, {SAID_CLOCK} AS said, transaction_date::TIME <> TIME '00:00:00' AS clock FROM own)"
 TIMES = OWNED + ", " + SAID + """, days AS (SELECT e.entity_id, t.event_at::DATE AS day, (list_sort(list(t.event_at)))[count(*) // 2 + 1] AS mid, bool_or(event_type = 'CDR') AS has_cdr FROM tel t JOIN ent e ON t.msisdn = e.phone WHERE t.event_at::TIME <> TIME '00:00:00' GROUP BY 1, 2),
  times AS (SELECT s.*, CASE WHEN clock THEN transaction_date ELSE coalesce(said, mid, transaction_date) END AS resolved_at, CASE WHEN clock THEN 'statement' WHEN said IS NOT NULL THEN 'narration' WHEN mid IS NOT NULL THEN CASE WHEN has_cdr THEN 'linked_cdr' ELSE 'linked_ipdr' END ELSE 'date_only' END AS time_source
  FROM said s LEFT JOIN days d ON s.entity_id = d.entity_id AND s.transaction_date::DATE = d.day)"""
@@ -58,7 +54,7 @@ query("graph_nodes", G.nodes, LINKS + " SELECT * FROM nodes")
 query("graph_edges", G.edges, LINKS + """ SELECT entity_id, entity_id AS source, 'acc:' || account_id AS target, 'ownership' AS type, 'owns' AS label FROM acc UNION ALL SELECT entity_id, entity_id, 'tel:' || phone, 'ownership', 'uses' FROM ent UNION ALL
  SELECT entity_id, 'acc:' || account_id, 'cp:' || dest, 'transaction', n || ' tx' FROM ml UNION ALL SELECT entity_id, 'tel:' || msisdn, 'tel:' || b_party, 'call', calls || ' calls' FROM cl UNION ALL SELECT entity_id, 'tel:' || msisdn, 'ip:' || ip_address, 'ipdr', sessions || ' sessions' FROM il""")
 query("graph_summary", G.summary, LINKS + " SELECT entity_id, type, count(*) AS n FROM nodes GROUP BY 1, 2")
-query("graph_tints", G.tints, LINKS + """, m AS (SELECT entity_id, sum(n)::BIGINT AS tx, count(DISTINCT dest) AS cps FROM ml GROUP BY 1), c AS (SELECT entity_id, count(*) AS calls FROM cl GROUP BY 1),
+query("graph_tints", G.tints, LINKS + """, m AS (SELECT entity_id, count(*) AS tx, count(DISTINCT dest) AS cps FROM (SELECT entity_id, """ + DEST + """ AS dest FROM own) GROUP BY 1), c AS (SELECT entity_id, count(*) AS calls FROM (SELECT DISTINCT e.entity_id, t.msisdn, t.b_party FROM tel t JOIN ent e ON t.msisdn = e.phone WHERE t.event_type = 'CDR' AND t.b_party NOT IN ('', '-')) GROUP BY 1),
  f AS (SELECT entity_id, is_seed, coalesce(tx, 0) AS tx, coalesce(cps, 0) AS cps, coalesce(calls, 0) AS calls FROM ent LEFT JOIN m USING (entity_id) LEFT JOIN c USING (entity_id)),
  s AS (SELECT *, CASE WHEN tx >= 3 THEN least(40e0, (tx - 2) * 15e-1) ELSE 0 END + CASE WHEN cps >= 3 THEN least(30e0, (cps - 2) * 4e0) ELSE 0 END + CASE WHEN calls >= 8 THEN least(18e0, calls * 4e-1) ELSE 0 END AS s FROM f)
  SELECT entity_id, tx, cps, calls, round_even(least(100e0, s + CASE WHEN NOT is_seed THEN 0 WHEN s >= 12 THEN 8 ELSE 3 END), 1) AS tint FROM s""")

@@ -37,7 +37,7 @@ def value(spark, column):
         (X.number, "nan", 0.0),
         (X.iso_date, "1-2-2024", "2024-02-01"),
         (X.iso_date, "2024/2/1 x", "2024-02-01"),
-        (X.call_type, "smt", "SMS_IN"),
+        (X.call_type, "smt", "SMS INCOMING"),
         (X.scrub, "=\"'12'\"", "12"),
         (C.header_kind, "A Party,B Party,Call Type", "cdr"),
         (C.header_kind, "Name,Remark", "quarantine"),
@@ -116,7 +116,7 @@ def test_interval_join_is_the_cross_join(spark):
 
 
 def test_operator_layouts_unify(spark):
-    one = spark.createDataFrame([("'9876543210'", '="919812345678"', "05-03-2024", "10:00:00", "75", "OUT", "12.9/77.5")], ["Target A Party Number", "Called Number", "Call Date", "Call Initiation Time CIT", "Dur(s)", "Call Type", "First CGI Lat/Long"])
+    one = spark.createDataFrame([("'9876543210'", '="919812345678"', "05-03-2024", "10:00:00", "75", "OUT", "12.9/77.5")], ["Target A Party Number", "Called Party Telephone Number", "Call Date", "Call Initiation Time CIT", "Dur(s)", "Call Type", "First CGI Lat/Long"])
     r = files.unified_cdr(one).first()
     assert (r["A_PARTY"], r["B_PARTY"], r["CALL_TYPE"], r["LATITUDE"], r["LONGITUDE"], r["DURATION"]) == ("9876543210", "9812345678", "OUTGOING", "12.9", "77.5", "75")
     e = files.cdr_events(files.unified_cdr(one.union(one)), "f.csv")
