@@ -8,17 +8,17 @@ each perturbed cell, its chance. The candidates of all visited cells are ranked
 the exact cosine.
 
 A bounded sample (SAMPLE queries) is searched exactly, over all rows, to fit r and
-the number of visits that reaches RECALL on it; every row is in the index. If no
-number of visits up to MOST does, or the table is small, one cell holds all rows and
-the search is exact. A cell with many rows or many visits is split over tasks; each
-pair of parts meets, so nothing is capped. Of equal vectors only the k + 1 smallest
-ids can be an answer, and only those are indexed.
+the number of visits that reaches RECALL on it; every row is in the index. Where no
+number of visits up to MOST does, there are twice the tables, and then projections
+less by one: tables of every size are searched in this way. A cell with many rows or
+many visits is split over tasks; each pair of parts meets, so nothing is capped. Of
+equal vectors only the k + 1 smallest ids can be an answer, and only those are indexed.
 
 Defined cases: vectors that are null, zero, or hold a null or a component that is
 not finite take no part, as queries or candidates; vectors of other lengths are not
 compared with each other; equal scores are ordered by id; a query with fewer
-candidates than k returns all; repeated ids are one candidate each, a query
-repeated as a row answers once; null ids take no part; an empty table gives an empty
+candidates than k returns all its candidates; of repeated ids the smallest vector
+counts, as a candidate and as a query; null ids take no part; an empty table gives an empty
 result; other columns of the input are not read, whatever their names.
 """
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import erf
 
 import numpy as np
 import pandas as pd
@@ -38,13 +37,18 @@ from .common import cut, map_batches, ship
 
 K, EVERY = 5, 50
 TABLES, WIDTH, SEED = 6, 2.0, 5
-#: Rows that a cell should hold, and the size below which a table is searched whole.
-PER_CELL, SMALL = 200, 2000
+#: Rows that a cell should hold.
+PER_CELL = 200
 SAMPLE, RECALL, MOST = 96, 0.96, 600
 #: Rows and visits of a cell that meet in one task.
 PART = 4096
 
-_erf = np.vectorize(erf)
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function, to a ten-millionth (Abramowitz and Stegun 7.1.26)."""
+    t = 1 / (1 + 0.3275911 * np.abs(x))
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return np.sign(x) * (1 - tail * np.exp(-x * x))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -59,42 +63,46 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Hashing:
     dim: int
-    projections: int  # for each table; none: one cell
+    projections: int  # for each table
+    tables: int = TABLES
     r: float = 0.5
 
     def drawn(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng([SEED, self.dim])
-        shape = (TABLES, self.projections)
+        shape = (self.tables, self.projections)
         return rng.standard_normal((*shape, self.dim)), rng.random(shape) * WIDTH
 
     def places(self, vectors: np.ndarray) -> np.ndarray:
         """Projections, shifted and in widths: tables x rows x projections."""
         a, b = self.drawn()
-        return (np.einsum("nd,tpd->tnp", unit(vectors), a) + b[:, None, :]) / WIDTH
+        return (np.einsum("nd,tpd->tnp", unit(vectors), a, optimize=True) + b[:, None, :]) / WIDTH
 
     def cells(self, vectors: np.ndarray) -> np.ndarray:
         """Cell keys: tables x rows."""
         return _keys(np.floor(self.places(vectors)).astype(np.int64))
 
-    def visits(self, vector: np.ndarray, most: int) -> np.ndarray:
-        """Keys of each table's ``most`` likeliest cells, likeliest first."""
+    def visits(self, vectors: np.ndarray, most: int) -> np.ndarray:
+        """Keys of the ``most`` likeliest cells, likeliest first: tables x rows x cells."""
         _, b = self.drawn()
+        spread = np.sqrt(1 - self.r**2) * np.sqrt(2)
         out = []
-        for place, shift in zip(self.places(vector[None])[:, 0], b, strict=True):
-            best, logs = np.zeros((1, 0), np.int64), np.zeros(1)
-            for t, s in zip(place, shift, strict=True):
-                options = np.floor(t).astype(np.int64) + np.arange(-3, 4)
-                mean, spread = self.r * (t * WIDTH - s), np.sqrt(1 - self.r**2)
-                edge = lambda c: 0.5 * (1 + _erf((c * WIDTH - s - mean) / (spread * np.sqrt(2))))  # noqa: E731, B023
-                chance = np.log(np.maximum(edge(options + 1) - edge(options), 1e-30))
+        for places, shift in zip(self.places(vectors), b, strict=True):
+            n = len(places)
+            best, logs = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1))
+            for j in range(self.projections):
+                options = np.floor(places[:, j]).astype(np.int64)[:, None] + np.arange(-3, 4)
+                mean = self.r * (places[:, j] * WIDTH - shift[j])[:, None]
+                edge = lambda c: 0.5 * (1 + _erf((c * WIDTH - shift[j] - mean) / spread))  # noqa: E731, B023
+                chance = np.log(np.maximum(edge(options + 1) - edge(options), 1e-9))
                 # a likely cell is likely in its first projections too: the best prefixes suffice
-                logs = (logs[:, None] + chance[None]).ravel()
-                best = np.concatenate([np.repeat(best, len(options), axis=0), np.tile(options, len(best))[:, None]], axis=1)
-                order = np.argsort(-logs, kind="stable")[:most]
-                best, logs = best[order], logs[order]
+                logs = (logs[:, :, None] + chance[:, None, :]).reshape(n, -1)
+                width = best.shape[1]
+                order = np.argsort(-logs, axis=1, kind="stable")[:, :most]
+                before = np.take_along_axis(best, (order // 7)[:, :, None], 1) if j else np.zeros((n, order.shape[1], 0), np.int64)
+                last = np.take_along_axis(np.tile(options, (1, width)), order, 1)
+                best, logs = np.concatenate([before, last[:, :, None]], axis=2), np.take_along_axis(logs, order, 1)
             out.append(_keys(best))
-        size = min(map(len, out))
-        return np.stack([x[:size] for x in out])
+        return np.stack(out)
 
 
 def _keys(cells: np.ndarray) -> np.ndarray:
@@ -106,10 +114,11 @@ def _keys(cells: np.ndarray) -> np.ndarray:
 
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, v`` of the vectors that take part."""
-    df = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    """``id, v`` of the vectors that take part, single or double as they came."""
+    kind = "array<float>" if dict(rows.dtypes)[vector] == "array<float>" else "array<double>"
+    df = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.where(~bad & F.exists("v", lambda x: x != 0.0))
+    return df.where(~bad & F.exists("v", lambda x: x != 0.0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -141,26 +150,30 @@ def exact(queries: list[tuple[int, list[float]]], rows: DataFrame, k: int, dim:
 
 def fit(index: DataFrame, queries: DataFrame, k: int, dim: int, n: int) -> tuple[Hashing, int]:
     """The hashing for ``n`` rows and the number of visits in each table."""
-    whole = Hashing(dim, 0), 1
-    if n <= SMALL:
-        return whole
+    first = max(1, round(np.log2(max(n, 2) / PER_CELL) / 1.1))
     sample = [(r["id"], r["v"]) for r in queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    if not sample:
-        return whole
-    true = exact(sample, index, k, dim)
+    true = exact(sample, index, k, dim) if sample else []
+    if not true:
+        return Hashing(dim, first), 1
     wanted = {i for _, i, _ in true}
     known = {r["id"]: r["v"] for r in index.join(F.broadcast(index.sparkSession.createDataFrame([(i,) for i in wanted], "id long")), "id").collect()}
     r = float(np.clip(np.median([s for _, _, s in true]), 0.05, 0.98))
-    hashing = Hashing(dim, max(1, round(np.log2(n / PER_CELL) / 1.1)), r)
-    vectors = dict(sample)
-    visits = {q: hashing.visits(np.array(vectors[q]), MOST) for q in {q for q, _, _ in true}}
-    ranks = []
-    for q, i, _ in true:
-        cell = hashing.cells(np.array([known[i]]))[:, 0]
-        hit = visits[q] == cell[:, None]
-        ranks.append(np.where(hit.any(axis=1), hit.argmax(axis=1), MOST).min())
-    need = int(np.quantile(ranks, RECALL, method="higher")) + 1
-    return (hashing, need) if need < MOST else whole
+    place = {q: i for i, (q, _) in enumerate(sample)}
+    asked = np.array([v for _, v in sample], dtype=np.float64)
+    near = np.array([known[i] for _, i, _ in true], dtype=np.float64)
+    of = np.array([place[q] for q, _, _ in true])
+    for projections in range(first, 0, -1):
+        for tables in (TABLES, 2 * TABLES):
+            hashing = Hashing(dim, projections, tables, r)
+            visits, cells = hashing.visits(asked, MOST), hashing.cells(near)
+            ranks = np.full(len(true), MOST)
+            for t in range(tables):
+                hit = visits[t][of] == cells[t][:, None]
+                ranks = np.minimum(ranks, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST))
+            need = int(np.quantile(ranks, RECALL, method="higher")) + 1
+            if need <= visits.shape[2]:
+                return hashing, need
+    return hashing, visits.shape[2]
 
 
 def search(rows: DataFrame, queries: DataFrame | None = None, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -170,10 +183,9 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = K, key: s
     ship(spark)
     every = valid(rows, key, vector)
     asked = valid(queries, key, vector) if queries is not None else every.where(F.col("id") % EVERY == 0)
-    asked = asked.dropDuplicates(["id"])
     # of equal vectors those that can be answers; ranked in part before the shuffle
     same = Window.partitionBy("v").orderBy("id")
-    index = cut(every.dropDuplicates(["id", "v"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).select("id", "v"))
+    index = cut(every.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).select("id", "v"))
     out = None
     for dim, n in sorted((r["dim"], r["n"]) for r in index.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()):
         part = _search(index.where(F.size("v") == dim), asked.where(F.size("v") == dim), k, dim, n)
@@ -187,36 +199,43 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = K, key: s
 
 def _search(index: DataFrame, asked: DataFrame, k: int, dim: int, n: int) -> DataFrame:
     hashing, most = fit(index, asked, k, dim, n)
-    tables = TABLES if hashing.projections else 1
+    tables = hashing.tables
+    kind = dict(index.dtypes)["v"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = hashing.cells(_matrix(batch.column(1), dim))[:tables]
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(cells[t]), batch.column(0), batch.column(1)], names=["t", "cell", "id", "v"])
+            cells = hashing.cells(_matrix(batch.column(1), dim))
+            flat = pa.array(cells.T.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * tables, flat)], names=["id", "v", "cells"])
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _matrix(batch.column(1), dim)
-            for i in range(batch.num_rows):
-                visits = hashing.visits(vectors[i], most)[:tables]
-                count = visits.shape[1]
-                one = pa.array(np.full(tables * count, i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(tables, dtype=np.int32), count)), pa.array(visits.ravel()), batch.column(0).take(one), batch.column(1).take(one)], names=["t", "cell", "q", "w"])
-
-    cells = map_batches(index, placed, "t int, cell long, id long, v array<double>")
-    visits = map_batches(asked.select("id", "v"), visiting, "t int, cell long, q long, w array<double>")
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                visits = hashing.visits(_matrix(part.column(1), dim), most)
+                m = visits.shape[2]
+                for t in range(tables):
+                    cells = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * m, pa.array(visits[t].ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, t, np.int32)), cells], names=["q", "t", "cells"])
+
+    cells = map_batches(index, placed, f"id long, v {kind}, cells array<long>").select("id", "v", F.posexplode("cells").alias("t", "cell"))
+    spread = max(8, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # ids alone: once for each query and table
+    visits = cut(map_batches(asked.select("id", "v").repartition(spread, "id"), visiting, "q long, t int, cells array<long>"))
+    visits = visits.select("q", "t", F.explode("cells").alias("cell"))
     sizes = cells.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("n")).join(visits.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("m")), ["t", "cell"])
     sizes = cut(sizes.select("t", "cell", F.ceil(F.col("n") / PART).cast("int").alias("a"), F.ceil(F.col("m") / PART).cast("int").alias("b")))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = cells.join(sizes, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("a")).cast("int").alias("i"), upto("b").alias("j"), "id", "v")
-    right = visits.join(sizes, ["t", "cell"]).select("t", "cell", upto("a").alias("i"), F.pmod(F.xxhash64("q"), F.col("b")).cast("int").alias("j"), "q", "w")
+    # a query's vector joins the visits to cells that hold rows
+    met = visits.join(sizes, ["t", "cell"]).join(asked.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
+    right = met.select("t", "cell", upto("a").alias("i"), F.pmod(F.xxhash64("q"), F.col("b")).cast("int").alias("j"), "q", "w")
 
     def ranked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "id": [], "score": []}).astype({"q": "int64", "id": "int64"})
         ids, qs = a["id"].to_numpy(), b["q"].to_numpy()
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["w"].to_numpy())
+        x, y = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["w"].to_numpy()).astype(np.float64)
         ux = unit(x)
         found = []
         for at in range(0, len(qs), 256):
