@@ -135,3 +135,34 @@ def bank_name(filename: Column, aliases: dict[str, str]) -> Column:
     n = F.regexp_replace(F.lower(filename), "[^a-z0-9]", "")
     longest = sorted(aliases, key=lambda a: (-len(a), a))
     return F.coalesce(*[F.when(F.contains(n, F.lit(a)), F.lit(aliases[a])) for a in longest])
+
+
+# Words that headers have.
+CUE_WORDS = ("party", "date", "time", "duration", "imei", "msisdn", "upi", "debit", "credit", "narration", "description", "balance", "ip", "account", "call", "cell")
+
+
+def header_row(rows: DataFrame, scan: int = 40) -> DataFrame:
+    """``path, line_no, score``: of each file's leading rows (path, line_no, cells) the
+    first with the most cue words in its cells; rows of fewer than two cells, or of
+    numbers for the most part, are none."""
+    clean = F.filter(F.transform("cells", lambda c: F.btrim(F.regexp_replace(F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit(" ")), r"\s+", " "), F.lit(" :.-"))), lambda c: c != "")
+    found = rows.where(F.col("line_no") < scan).select("path", "line_no", clean.alias("c")).where("size(c) >= 2")
+    numbers = F.size(F.filter("c", lambda c: F.regexp_like(F.replace(c, F.lit(" "), F.lit("")), F.lit(r"^[\d.,]+$"))))
+    hits = lambda c: sum((F.contains(c, F.lit(w)).cast("int") for w in CUE_WORDS), F.lit(0))
+    scored = found.where(numbers / F.size("c") <= 0.5).select("path", "line_no", F.aggregate("c", F.lit(0), lambda s, c: s + hits(c)).alias("score"))
+    best = scored.groupBy("path").agg(F.max_by(F.struct("line_no", "score"), F.struct("score", -F.col("line_no"))).alias("b"))
+    return best.select("path", "b.*")
+
+
+def resniffed(kind: Column, detected: Column, sniffed: Column, name: Column) -> Column:
+    """What a document is loaded as when it is loaded again: by what it was filed as,
+    but for what its header says, a phone number in its name, and, where nothing else
+    is known, words of its name."""
+    load = F.create_map(*[F.lit(x) for k in ("bank_statement", "bank", "accounts", "transactions") for x in (k, "bank_statement")], F.lit("cdr"), F.lit("cdr"), F.lit("ipdr"), F.lit("ipdr"))
+    filed = F.coalesce(F.try_element_at(load, F.lower(kind)), F.try_element_at(load, F.lower(detected)))
+    n = F.lower(name)
+    table = F.regexp_like(n, F.lit(r"\.(csv|tsv|xlsx|xls|xlsm)$"))
+    said = F.when(table, F.lower(sniffed))
+    phone = F.regexp_like(F.regexp_replace(n, r"\.[^.]*$", ""), F.lit(r"(?<!\d)[6-9]\d{9}(?!\d)"))
+    named = F.regexp_like(n, F.lit(r"\.(xlsx|xls|xlsm|csv|pdf)$")) & F.regexp_like(n, F.lit("stmt|statement|icore|bank|ledger|account"))
+    return F.when(phone, "cdr").when(said.isin("cdr", "ipdr"), said).when((said == "bank") & ~F.coalesce(filed.isin("cdr", "ipdr"), F.lit(False)), "bank_statement").otherwise(F.coalesce(filed, F.when(named, "bank_statement")))

@@ -79,21 +79,44 @@ def profile(tx: DataFrame) -> DataFrame:
     return tx.agg(F.count(F.lit(1)).alias("rows"), filled("counterparty_account"), filled("counterparty_name"), filled("mode"))
 
 
-def suffix_matches(hints: DataFrame, accounts: DataFrame, least: int = 4) -> DataFrame:
-    """``doc, account_id``: accounts whose number ends with a digit run of the hint, or
-    the other way round, by an equi-join on the last ``least`` digits."""
-    runs = hints.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(\d{{{least},18}})"), F.lit(1)))).alias("run"))
+# Labels before an account number.
+ACCOUNT_LABEL = r"(?i)(?:A/?C\s*(?:No|Number|Num)?\.?\s*[:\-]?\s*|Account\s*No\.?\s*[:\-]?\s*|Acct\s*Range\s*:\s*|Account\s*Number\s*[:\-]?\s*)(\d{9,18})"
+
+
+def account_candidates(hints: DataFrame) -> DataFrame:
+    """``doc, run``: the digit runs of a document's ``text`` that may be its account: after
+    a label, or nine to eighteen digits alone."""
+    labelled = F.regexp_extract_all("text", F.lit(ACCOUNT_LABEL), F.lit(1))
+    alone = F.regexp_extract_all("text", F.lit(r"\b(\d{9,18})\b"), F.lit(1))
+    return hints.select("doc", F.explode(F.array_distinct(F.concat(labelled, alone))).alias("run"))
+
+
+def account_matches(hints: DataFrame, accounts: DataFrame, least: int = 5) -> DataFrame:
+    """``doc, account_id``: accounts whose number holds a digit run of the document, or
+    whose last twelve digits end the run. Equi-joins: a run's first ``least`` digits
+    stand somewhere in a number that holds it, and the last ones end both."""
+    runs = account_candidates(hints)
     a = accounts.select("account_id", F.regexp_replace("account_number", "[^0-9]", "").alias("number")).where(F.length("number") >= least)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("number") - least + 1), lambda i: F.substring(F.col("number"), i, F.lit(least))))
+    held = runs.withColumn("gram", F.left("run", F.lit(least))).join(a.withColumn("gram", F.explode(grams)), "gram").where(F.contains("number", "run"))
     tail = lambda c: F.right(c, F.lit(least))
-    met = runs.withColumn("tail", tail(F.col("run"))).join(a.withColumn("tail", tail(F.col("number"))), "tail")
-    return met.where(F.endswith("number", "run") | F.endswith("run", "number")).select("doc", "account_id").distinct()
+    ended = runs.withColumn("tail", tail(F.col("run"))).join(a.withColumn("tail", tail(F.col("number"))), "tail").where(F.endswith("run", F.right("number", F.lit(12))))
+    return held.select("doc", "account_id").union(ended.select("doc", "account_id")).distinct()
+
+
+# Words of file names that name no one.
+NAME_STOP = ("document", "statement", "bank", "account", "new", "scan", "copy", "file", "nov", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "dec")
 
 
-def name_matches(files: DataFrame, names: DataFrame, stop: tuple[str, ...] = ("statement", "bank", "account", "file")) -> DataFrame:
-    """``doc, entity_id, hits``: the entity most of whose name's words are in the file
-    name."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*stop)))
-    met = files.select("doc", F.explode(words(F.col("name"))).alias("w")).join(names.select("entity_id", F.explode(words(F.col("entity_name"))).alias("w")), "w")
+def name_matches(files: DataFrame, names: DataFrame, stop: tuple[str, ...] = NAME_STOP) -> DataFrame:
+    """``doc, entity_id, hits``: the entity whose id and name hold most of the words of
+    four letters and more in the file name; a word's first four letters lead to it."""
+    words = F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*stop)))
+    w = files.select("doc", F.explode(words).alias("w")).withColumn("gram", F.left("w", F.lit(4)))
+    text = F.lower(F.concat_ws(" ", "entity_id", "entity_name"))
+    n = names.select("entity_id", text.alias("t")).where(F.length("t") >= 4)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.substring(F.col("t"), i, F.lit(4))))
+    met = w.join(n.withColumn("gram", F.explode(grams)), "gram").where(F.contains("t", "w"))
     hits = met.groupBy("doc", "entity_id").agg(F.count(F.lit(1)).alias("hits"))
     return hits.groupBy("doc").agg(F.max_by(F.struct("entity_id", "hits"), F.struct("hits", "entity_id")).alias("b")).select("doc", "b.*")
 
