@@ -379,7 +379,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         tried = star if tried is None else tried.union(star)
         n = found.count()
         links = found if links is None else links.union(found)
-        if labels is not None and n * WORTH < first:
+        if labels is not None and (not n or n * WORTH < first):
             break
         first = n if labels is None else first
         labels = components(links)
