@@ -355,12 +355,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     buckets = cut(met.select("band", "node").join(company, "node"))
 
     # one text for every node in a bucket with another
-    asked = company.select("node").join(nodes.select("node", "first"), "node")
+    asked_at = new_path(docs.sparkSession, "asked")
+    company.select("node").join(nodes.select("node", "first"), "node").write.parquet(asked_at)
+    # its size is known from here on: where it is small, Spark sends it to the texts, not them to it
+    asked = docs.sparkSession.read.schema(nodes.select("node", "first").schema).parquet(asked_at)
     t = text_of(docs, text)
     all_texts = docs.select(F.xxhash64(t).alias("node"), F.col(key).alias("id"), t.alias("t"))
     texts = asked.join(all_texts, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "t").dropDuplicates(["node"])
     spark, at = docs.sparkSession, new_path(docs.sparkSession, "texts")
     with_bits(texts).write.parquet(at)
+    drop(spark, asked_at)
     texts = spark.read.schema(TEXTS).parquet(at)
 
     # stars: each bucket's centre against the others; then, of those that are in no class
@@ -423,12 +427,13 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
     smallest id (of repeated rows, and of texts of a class with that id, one)."""
     # each class has its own node, though classes may share an id or have none
     leads = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))
-    kept = near_duplicates(docs, key, text, **how).where(leads).select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct()
-    # one hash for the join and for the count after it, so that the texts move once
-    kept = kept.withColumn("_j", F.xxhash64("_id", "_node"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_d"), F.xxhash64(text_of(docs, text)).alias("_t")).withColumn("_j", F.xxhash64("_d", "_t"))
-    met = row.join(kept, "_j").where(F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_node")))
-    one = met.withColumn("_n", F.row_number().over(Window.partitionBy("_j", "_d", "_t").orderBy("_d"))).where("_n = 1")
+    kept = near_duplicates(docs, key, text, **how).where(leads).select(F.col("id").alias("_id"), F.col("node").alias("_node"))
+    # the join and the count after it have the same keys, none of them null, so that the texts move once
+    by = ["_said", "_none", "_node"]
+    named = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_said"), F.col(c).isNull().alias("_none"))
+    kept = kept.select(*named("_id"), "_node").distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named(key), F.xxhash64(text_of(docs, text)).alias("_node"))
+    one = row.join(kept, by).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))).where("_n = 1")
     return one.select("row.*")
 
 
