@@ -103,13 +103,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     chosen = mix(docs, **how).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies", "rows").where("copies > 0")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(text_of(docs)).alias("_hash"))
+    # the join and the count after it have the same keys, none of them null, so that the texts move once
+    by = ["_said", "_none", "_hash"]
+    said = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_said"), F.col("doc_id").isNull().alias("_none"))
+    chosen = chosen.where("copies > 0").select(*said, F.col("text_hash").alias("_hash"), "copies", "rows")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *said, F.xxhash64(text_of(docs)).alias("_hash")).join(chosen, by)
     # repeated rows share their copies: each gets the even part, the first ones the rest
-    # one hash for the join and for the count after it, so that the texts move once
-    chosen = chosen.select(F.xxhash64("_id", "_hash").alias("_j"), F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "copies", "rows")
-    keyed = keyed.withColumn("_j", F.xxhash64("_id", "_hash")).join(chosen, "_j").where(F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
-    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("_j", "_id", "_hash").orderBy("_id")))
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1))))
     n = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.pmod("copies", "rows")).cast("long")
     return keyed.withColumn("n", n).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
