@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, licenses, mixing, neardup, neighbours, pieces, quality, secrets, tokens
+from . import importance, language, licenses, mixing, neardup, neighbours, periodic, pieces, quality, secrets, tokens
 from .sql import ORACLE_SQL
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
     "op10_near_dedup": neardup.op10_near_dedup,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
