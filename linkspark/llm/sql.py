@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import centroids, licenses
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op13_centroid_clustering": centroids.oracle()}
