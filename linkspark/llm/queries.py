@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, importance, language, licenses, mixing, neardup, neighbours, periodic, pieces, quality, secrets, tokens
+from . import centroids, importance, language, licenses, mixing, neardup, neighbours, passages, periodic, pieces, quality, secrets, tokens
 from .sql import ORACLE_SQL
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
     "op10_near_dedup": neardup.op10_near_dedup,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_repeated_passages": passages.op12_repeated_passages,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
