@@ -47,7 +47,7 @@ from .common import map_batches, new_path, ship, table, text_of
 
 K, M = 50, 16
 #: Bytes of text in a block, in a range of hashes, in a range of stretches, in a piece.
-BLOCK, HASHES, STRETCHES, PIECE = 16 << 20, 32 << 20, 5 << 18, 1 << 20
+BLOCK, HASHES, STRETCHES, PIECE = 4 << 20, 32 << 20, 5 << 18, 1 << 20
 COMMON = 4096
 #: No UTF-8 text holds this byte: it stands between stretches.
 END = 0xFF
@@ -458,7 +458,7 @@ def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
     row = np.searchsorted(places, spans[:, 0])
     np.add.at(cover, offsets[row] + spans[:, 1], 1)
     np.add.at(cover, offsets[row] + spans[:, 2], -1)
-    gone = np.cumsum(cover[:-1]) > 0
+    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
     gone |= np.repeat(skip, np.diff(offsets))
     edge = gone.copy()
     first = np.zeros(len(data) + 1, bool)
