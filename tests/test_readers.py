@@ -16,9 +16,11 @@ def test_layouts_of_a_folder(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Report of X\n\nTarget A Party Number,B Party Number,Call Date,CIT\n'9876543210',\"919812345678\",05-03-2024,10:00:00\n")
     (tmp_path / "sub" / "b.csv").write_text("Mobile No,Other Party No,DATE,TIME,Call Type\n9876543211,VD-X,06/03/2024,11:00:00,SMO\n")
     (tmp_path / "UNIFIED_MASTER.csv").write_text("A_PARTY,B_PARTY,CALL_DATE\n1,2,3\n")
-    frames = files.read_layouts(spark, str(tmp_path))
-    rows = sorted(tuple(r) for f in frames for r in files.unified_cdr(f).select("A_PARTY", "B_PARTY", "CALL_DATE", "CALL_TIME", "CALL_TYPE").collect())
+    found = files.read_mixed_cdr(spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in found.select("A_PARTY", "B_PARTY", "CALL_DATE", "CALL_TIME", "CALL_TYPE").collect())
     assert rows == [("9876543210", "9812345678", "05-03-2024", "10:00:00", None), ("9876543211", "VD-X", "06/03/2024", "11:00:00", "SMS OUTGOING")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and "Exchange" not in plan and "Join" not in plan
 
 
 def test_the_last_row_of_an_event_wins(spark):
