@@ -174,7 +174,8 @@ def minima(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] &= (x[1:] != x[:-1]) | ~ok[:-1]
     first = np.flatnonzero(new)
     ends = np.flatnonzero(ok & ~np.concatenate([ok[1:] & ~new[1:], [False]]))
-    return first, ends - first + 1, x[first] >> np.uint64(16), eights
+    # smallest hashes are small ones: mixed again, they spread over the ranges
+    return first, ends - first + 1, _mixed((x[first] >> np.uint64(16)) * _MUL[1]), eights
 
 
 def pieces_of(texts: pa.Array, skip: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
