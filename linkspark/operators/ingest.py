@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matching import name_best, number_matches
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the row that is last by ``order``: a maximum, combined before the
@@ -85,23 +87,20 @@ ACCOUNT_LABEL = r"(?i)(?:A/?C\s*(?:No|Number|Num)?\.?\s*[:\-]?\s*|Account\s*No\.
 
 def account_candidates(hints: DataFrame) -> DataFrame:
     """``doc, run``: the digit runs of a document's ``text`` that may be its account: after
-    a label, or nine to eighteen digits alone."""
+    a label, or nine to eighteen digits alone; and those of its file's ``name``, if the
+    frame has one: nine to eighteen digits, or five to eight that are all of the stem."""
     labelled = F.regexp_extract_all("text", F.lit(ACCOUNT_LABEL), F.lit(1))
     alone = F.regexp_extract_all("text", F.lit(r"\b(\d{9,18})\b"), F.lit(1))
-    return hints.select("doc", F.explode(F.array_distinct(F.concat(labelled, alone))).alias("run"))
+    stem = F.regexp_replace(F.coalesce("name", F.lit("")), r"(?<=.)\.[^.]*$", "") if "name" in hints.columns else None
+    named = [] if stem is None else [F.regexp_extract_all(stem, F.lit(r"(\d{9,18})"), F.lit(1)), F.regexp_extract_all(stem, F.lit(r"^\s*(\d{5,8})\s*$"), F.lit(1))]
+    return hints.select("doc", F.explode(F.array_distinct(F.concat(labelled, alone, *named))).alias("run"))
 
 
 def account_matches(hints: DataFrame, accounts: DataFrame, least: int = 5) -> DataFrame:
     """``doc, account_id``: accounts whose number holds a digit run of the document, or
-    whose last twelve digits end the run. Equi-joins: a run's first ``least`` digits
-    stand somewhere in a number that holds it, and the last ones end both."""
-    runs = account_candidates(hints)
-    a = accounts.select("account_id", F.regexp_replace("account_number", "[^0-9]", "").alias("number")).where(F.length("number") >= least)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("number") - least + 1), lambda i: F.substring(F.col("number"), i, F.lit(least))))
-    held = runs.withColumn("gram", F.left("run", F.lit(least))).join(a.withColumn("gram", F.explode(grams)), "gram").where(F.contains("number", "run"))
-    tail = lambda c: F.right(c, F.lit(least))
-    ended = runs.withColumn("tail", tail(F.col("run"))).join(a.withColumn("tail", tail(F.col("number"))), "tail").where(F.endswith("run", F.right("number", F.lit(12))))
-    return held.select("doc", "account_id").union(ended.select("doc", "account_id")).distinct()
+    whose last twelve digits end the run."""
+    numbers = accounts.select(F.col("account_id").alias("id"), F.col("account_number").alias("number"))
+    return number_matches(account_candidates(hints), numbers, least).withColumnRenamed("id", "account_id")
 
 
 # Words of file names that name no one.
@@ -110,15 +109,11 @@ NAME_STOP = ("document", "statement", "bank", "account", "new", "scan", "copy",
 
 def name_matches(files: DataFrame, names: DataFrame, stop: tuple[str, ...] = NAME_STOP) -> DataFrame:
     """``doc, entity_id, hits``: the entity whose id and name hold most of the words of
-    four letters and more in the file name; a word's first four letters lead to it."""
+    four letters and more in the file's name."""
     words = F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*stop)))
-    w = files.select("doc", F.explode(words).alias("w")).withColumn("gram", F.left("w", F.lit(4)))
     text = F.lower(F.concat_ws(" ", "entity_id", "entity_name"))
-    n = names.select("entity_id", text.alias("t")).where(F.length("t") >= 4)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.substring(F.col("t"), i, F.lit(4))))
-    met = w.join(n.withColumn("gram", F.explode(grams)), "gram").where(F.contains("t", "w"))
-    hits = met.groupBy("doc", "entity_id").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.groupBy("doc").agg(F.max_by(F.struct("entity_id", "hits"), F.struct("hits", "entity_id")).alias("b")).select("doc", "b.*")
+    found = name_best(files.select("doc", words.alias("words")), names.select(F.col("entity_id").alias("id"), text.alias("text")))
+    return found.select("doc", F.col("id").alias("entity_id"), F.col("hits").cast("long"))
 
 
 def append_audit(path: str, entries: DataFrame) -> None:
