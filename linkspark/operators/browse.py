@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from .aggregates import owned
+from .order import slice_of
 
 
 def holds(text: str, *columns: str) -> Column:
@@ -26,9 +27,10 @@ def accounts(acc: DataFrame, text: str) -> DataFrame:
     return acc.where(holds(text, "account_id", "entity_id", "entity_name", "phone"))
 
 
-def paged(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
+def paged(df: DataFrame, columns: list[str], number: int, size: int) -> DataFrame:
+    """A page in falling order of the columns."""
     size, number = min(max(size, 1), 500), max(number, 1)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return slice_of(df, columns, (number - 1) * size, size)
 
 
 def page_counts(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
@@ -48,7 +50,7 @@ def ledger_page(tx: DataFrame, text: str | None = None, account: str | None = No
         tx = tx.where(F.col("account_id") == account)
     if direction:
         tx = tx.where(F.col("direction") == direction.upper())
-    return ledger_rows(paged(tx, [F.desc("transaction_date"), F.desc("transaction_id")], page, size))
+    return ledger_rows(paged(tx, ["transaction_date", "transaction_id"], page, size))
 
 
 def telecom_rows(tel: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def telecom_page(tel: DataFrame, text: str | None = None, event_type: str | None
         tel = tel.where(F.col("event_type") == event_type)
     if msisdn:
         tel = tel.where(F.col("msisdn") == msisdn)
-    return telecom_rows(paged(tel, [F.desc("event_at"), F.desc("event_id")], page, size))
+    return telecom_rows(paged(tel, ["event_at", "event_id"], page, size))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

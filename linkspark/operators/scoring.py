@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import aggregates as A
+from .order import shares
 
 MIN_TX, MIN_INFLOW = 3, 25_000.0
 TABLE = "array<struct<evidence:string,bucket:string,points:int>>"
@@ -17,16 +18,9 @@ TABLE = "array<struct<evidence:string,bucket:string,points:int>>"
 
 def pct_ranks(values: DataFrame, norms: DataFrame) -> DataFrame:
     """``key, measure, rank``: the share of the norms not above each (key, measure,
-    value); values of 0 rank 0. Values are cut into buckets by their logarithm: sums
-    inside a bucket, plus the sums of the buckets before it, of which there are few."""
-    bucket = F.floor(F.log2(F.greatest(F.col("value"), F.lit(1e-9))) * 16)
-    both = norms.select(F.lit(None).cast("string").alias("key"), "measure", "value", "n").unionByName(values.where("value > 0").select("key", "measure", "value", F.lit(0).cast("long").alias("n"))).withColumn("bucket", bucket)
-    sums = both.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("measure", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("measure")).alias("total"))
-    inside = Window.partitionBy("measure", "bucket").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = both.withColumn("upto", F.sum("n").over(inside)).where("key is not null").join(sums, ["measure", "bucket"])
-    ranked = ranked.select("key", "measure", F.when(F.col("total") > 0, (F.col("before") + F.col("upto")) / F.col("total")).otherwise(0.0).alias("rank"))
+    value); values of 0 rank 0."""
+    above = values.where("value > 0")
+    ranked = above.join(shares(above, norms), ["measure", "value"]).select("key", "measure", F.col("share").alias("rank"))
     return values.select("key", "measure").join(ranked, ["key", "measure"], "left").select("key", "measure", F.coalesce("rank", F.lit(0.0)).alias("rank"))
 
 
