@@ -285,9 +285,12 @@ def written(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def copies_of(texts: DataFrame) -> DataFrame:
     """``block, kind, a, b``: the rows of each block that are copies of a text with a
     smaller id."""
-    ids = texts.where(F.col("n") >= K).select("block", "place", "digest", F.coalesce("id", F.lit(LAST)).alias("id"))
-    least = ids.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("digest", "least")
-    found = ids.join(least, "digest").where("id > least").groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    ids = texts.where(F.col("n") >= K).select("block", "digest", F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "place").alias("x"))
+    # a row for each block that has the text, which costs no exchange: then a text in many rows is one in many blocks
+    per = ids.groupBy("block", "digest").agg(F.collect_list("x").alias("rows"), F.min("x.id").alias("low"), F.count(F.lit(1)).alias("m"))
+    least = per.groupBy("digest").agg(F.min("low").alias("least"), F.sum("m").alias("m")).where("m > 1").select("digest", "least")
+    later = F.filter("rows", lambda x: x["id"] > F.col("least"))
+    found = per.join(least, "digest").select("block", F.explode(later).alias("x")).groupBy("block").agg(F.sort_array(F.collect_list("x.place")).alias("places"))
     to_bytes = lambda c: F.unhex(F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
     return found.select("block", F.lit(COPIES).alias("kind"), to_bytes("places").alias("a"), F.lit(None).cast("binary").alias("b"))
 
