@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import casework, core, intake, layouts, matching, readers, risk, story
+from .plans import casework, core, intake, layouts, matching, readers, risk, story, upkeep
 
-QUERIES: dict = core.QUERIES | risk.QUERIES | story.QUERIES | intake.QUERIES | readers.QUERIES | casework.QUERIES | layouts.QUERIES | matching.QUERIES
-ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | risk.ORACLE_SQL | story.ORACLE_SQL | intake.ORACLE_SQL | readers.ORACLE_SQL | casework.ORACLE_SQL | layouts.ORACLE_SQL | matching.ORACLE_SQL
+QUERIES: dict = core.QUERIES | risk.QUERIES | story.QUERIES | intake.QUERIES | readers.QUERIES | casework.QUERIES | layouts.QUERIES | matching.QUERIES | upkeep.QUERIES
+ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | risk.ORACLE_SQL | story.ORACLE_SQL | intake.ORACLE_SQL | readers.ORACLE_SQL | casework.ORACLE_SQL | layouts.ORACLE_SQL | matching.ORACLE_SQL | upkeep.ORACLE_SQL

@@ -11,7 +11,6 @@ from linkspark.operators import ingest as I
 from linkspark.operators import scoring as S
 from linkspark.operators.interval import interval_join
 from linkspark.sources import files
-from linkspark.streaming import events
 
 
 def value(spark, column):
@@ -138,14 +137,3 @@ def test_statement_lines_use_the_balance(spark):
     rows = [("d", 1, "01-02-2024 opening balance 5,000.00Cr"), ("d", 2, "01-02-2024 pay 1,000.00 4,000.00Cr"), ("d", 3, "02-02-2024 got 500.00 4,500.00Cr"), ("d", 4, "03-02-2024 pay 100.00 4,400.00Cr")]
     got = files.statement_lines(spark.createDataFrame(rows, "doc string, line_no int, value string")).orderBy("line_no").collect()
     assert [(float(r["amount"]), r["direction"]) for r in got][1:] == [(500.0, "CR"), (100.0, "DR")]
-
-
-def test_stream_upsert(spark, tmp_path):
-    schema = "event_id string, event_at timestamp, v int"
-    rows = [("a", dt.datetime(2024, 1, 1), 1), ("a", dt.datetime(2024, 1, 1), 1), ("b", dt.datetime(2024, 1, 1), 2)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = events.fresh(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = events.upsert_into(stream, str(tmp_path / "out"), ["event_id"], ["event_at"], str(tmp_path / "ck"))
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(str(tmp_path / "out" / "v0")).count() == 2
