@@ -161,18 +161,31 @@ def shown_time(ts: Column) -> Column:
     return F.when(has_clock(ts), F.date_format(ts, "dd-MMM-yyyy HH:mm:ss")).otherwise(F.date_format(ts, "dd-MMM-yyyy"))
 
 
+# The fields of a ledger row that may hold a clock, in the order they are read.
+CLOCK_FIELDS = ("narration", "description", "reference_number", "derived_reference_number", "counterparty_upi_id", "mode")
+
+
+def clock_text(columns: list[str]) -> Column:
+    """The fields of a row that may hold a clock, side by side; absent and null ones count
+    as empty."""
+    return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in columns else F.lit("") for c in CLOCK_FIELDS])
+
+
 def clock_from_text(text: Column, anchor: Column) -> Column:
-    """A clock in a narration that agrees with the anchor's date, by the first stage
-    that has one: H:MM(:SS); ddmmyyyyHHMMSS; yyyymmddHHMMSS; the anchor's date with
-    six digits in the twelve characters after it."""
+    """A clock in a text that agrees with the anchor's date, by the first stage that has
+    one: H:MM(:SS); ddmmyyyyHHMMSS from 2020 on; yyyymmddHHMMSS; the first place of the
+    anchor's date with six digits in the twelve characters after it. Without an anchor
+    the two stages that hold a date count as they are."""
     day = F.to_date(anchor)
-    stamp = lambda pattern, layout: F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.try_to_timestamp(x, F.lit(layout))), lambda t: F.to_date(t) == day), F.lit(0))
-    h, m, s = (F.regexp_extract(text, r"(?<!\d)([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d))?(?!\d)", i) for i in (1, 2, 3))
+    digits = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{14})(?!\d)"), F.lit(1))
+    fits = lambda t: F.coalesce(F.to_date(t) == day, F.to_date(t).isNotNull() & day.isNull())
+    stamp = lambda layout, since: F.get(F.filter(F.transform(digits, lambda x: F.try_to_timestamp(x, F.lit(layout))), lambda t: fits(t) & F.year(t).between(since, 2099 if since == 2000 else 9999)), F.lit(0))
+    h, m, s = (F.regexp_extract(text, r"\b([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d))?\b", i) for i in (1, 2, 3))
     plain = F.when(h != "", F.try_to_timestamp(F.concat(F.date_format(anchor, "yyyy-MM-dd "), F.lpad(h, 2, "0"), F.lit(":"), m, F.lit(":"), F.when(s == "", "00").otherwise(s)), F.lit("yyyy-MM-dd HH:mm:ss")))
     key = F.date_format(anchor, "yyyyMMdd")
-    after = F.when(F.contains(text, key), F.substring(F.call_function("substring_index", text, key, F.lit(-1)), 1, 12))
+    after = F.when(F.contains(text, key), F.substring(text, F.call_function("instr", text, key) + 8, F.lit(12)))
     late = F.try_to_timestamp(F.concat(key, F.substring(F.regexp_replace(after, "[^0-9]", ""), 1, 6)), F.lit("yyyyMMddHHmmss"))
-    return F.coalesce(plain, stamp(r"(?<!\d)(\d{14})(?!\d)", "ddMMyyyyHHmmss"), stamp(r"(?<!\d)(\d{14})(?!\d)", "yyyyMMddHHmmss"), late)
+    return F.coalesce(plain, stamp("ddMMyyyyHHmmss", 2020), stamp("yyyyMMddHHmmss", 2000), late)
 
 
 def half_even(x: Column) -> Column:

@@ -184,6 +184,23 @@ def case_stats(ev) -> DataFrame:
     return base.join(tx, "case_id", "left").join(tel, "case_id", "left").na.fill(0, ["transactions", "cdr", "ipdr"])
 
 
+def case_list(ev, cases: DataFrame) -> DataFrame:
+    """Cases (case_id, status, updated_at and others) with their sums, the one updated
+    last first by ``place``."""
+    place = F.row_number().over(Window.orderBy(F.desc("updated_at"), "case_id"))  # a row for each case
+    return cases.join(case_stats(ev), "case_id", "left").withColumn("place", place)
+
+
+def case_detail(ev, audit: DataFrame, k: int = 20) -> DataFrame:
+    """``case_id, kind, rank, ref, label``: a case's seeds, and its k latest audit entries
+    (case_id, timestamp, user, action)."""
+    seeds = ev.cases.select("case_id", F.explode("seed_entity_ids").alias("entity_id")).join(ev.ent.select("entity_id", "entity_name"), "entity_id")
+    by_case = lambda *order: F.row_number().over(Window.partitionBy("case_id").orderBy(*order))
+    one = seeds.select("case_id", F.lit("seed").alias("kind"), by_case("entity_id").alias("rank"), F.col("entity_id").alias("ref"), F.col("entity_name").alias("label"))
+    two = audit.select("case_id", F.lit("audit").alias("kind"), by_case(F.desc("timestamp"), "action").alias("rank"), F.col("user").alias("ref"), F.col("action").alias("label")).where(F.col("rank") <= k)
+    return one.unionByName(two)
+
+
 def span_days(first: Column, last: Column) -> Column:
     return F.greatest(F.lit(1), F.datediff(last, first) + 1)
 

@@ -102,11 +102,42 @@ def suspicious_calls(tel: DataFrame) -> DataFrame:
     return tel.where((F.col("event_type") == "CDR") & test).select("event_id", "msisdn", "b_party", "duration_sec")
 
 
-def same_counterparty(ev, least: int = 95_000, k: int = 10) -> DataFrame:
-    """Beside each large transfer the latest ones of the same counterparty."""
-    latest = first_of(ev.tx.where("counterparty_name <> ''").select("counterparty_name", "transaction_date", F.col("transaction_id").alias("other")), ["counterparty_name"], [F.desc("transaction_date"), F.desc("other")], k + 1)
-    large = ev.tx.where(F.col("amount") >= least).select("transaction_id", "counterparty_name")
-    return large.join(latest, "counterparty_name").where("transaction_id <> other").select("transaction_id", "other", "rank")
+def same_counterparty(ev, k: int = 10) -> DataFrame:
+    """Beside each transfer with a counterparty's name the k latest of that name, which
+    may hold the transfer itself."""
+    latest = first_of(ev.tx.where("counterparty_name <> ''").select("counterparty_name", "transaction_date", F.col("transaction_id").alias("other")), ["counterparty_name"], [F.desc("transaction_date"), F.desc("other")], k)
+    return ev.tx.select("transaction_id", "counterparty_name").join(latest, "counterparty_name").select("transaction_id", "other", "rank")
+
+
+def latest_ids(df: DataFrame, key: str, at: str, ref: str, k: int) -> DataFrame:
+    """``key, ids``: the ids of each key's k latest rows, latest first."""
+    top = first_of(df.where(F.col(key) != "").select(key, at, ref), [key], [F.desc(at), F.desc(ref)], k)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", ref))), lambda r: r[ref]).alias("ids"))
+
+
+def transaction_detail(ev, k: int = 10) -> DataFrame:
+    """Each transfer with the owner of its account, the k latest of the account, and the k
+    latest of its counterparty's name."""
+    account = latest_ids(ev.tx, "account_id", "transaction_date", "transaction_id", k).withColumnRenamed("ids", "same_account")
+    name = latest_ids(ev.tx, "counterparty_name", "transaction_date", "transaction_id", k).withColumnRenamed("ids", "same_name")
+    owner = ev.acc.groupBy("account_id").agg(F.min(F.struct("entity_id", "entity_name", "phone")).alias("o")).select("account_id", "o.*")
+    rows = ev.tx.join(owner, "account_id", "left").join(account, "account_id", "left").join(name, "counterparty_name", "left")
+    return rows.select("transaction_id", "account_id", "entity_id", "entity_name", "phone", "same_account", "same_name")
+
+
+def telecom_detail(ev, k: int = 10) -> DataFrame:
+    """Each event with the owner of its phone and the k latest events of the phone."""
+    same = latest_ids(ev.tel, "msisdn", "event_at", "event_id", k).withColumnRenamed("ids", "same_msisdn")
+    owner = ev.ent.select(F.explode("phones").alias("msisdn"), "entity_id", "entity_name").groupBy("msisdn").agg(F.min(F.struct("entity_id", "entity_name")).alias("o")).select("msisdn", "o.*")
+    return ev.tel.join(owner, "msisdn", "left").join(same, "msisdn", "left").select("event_id", "msisdn", "entity_id", "entity_name", "same_msisdn")
+
+
+def newest_telecom(tel: DataFrame, k: int = 20) -> DataFrame:
+    """The k newest sessions and the k newest calls, with a label."""
+    net = F.concat(F.coalesce(X.blank(F.col("msisdn")), F.lit("—")), F.lit(" @ "), F.coalesce("ip_address", F.lit("None")))
+    call = F.concat(F.coalesce("msisdn", F.lit("None")), F.lit(" → "), F.coalesce("b_party", F.lit("None")))
+    rows = tel.where(F.col("event_type").isin("CDR", "IPDR")).select("event_type", "event_id", "event_at", F.when(F.col("event_type") == "IPDR", net).otherwise(call).alias("label"))
+    return first_of(rows, ["event_type"], [F.desc("event_at"), F.desc("event_id")], k)
 
 
 def phone_overlap(ev) -> DataFrame:

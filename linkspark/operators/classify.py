@@ -37,8 +37,15 @@ def document_scores(text: Column, keywords: dict = KEYWORDS) -> dict[str, Column
 
 
 def merged_rules(overrides: dict, base: dict = KEYWORDS) -> dict:
-    """The rules with more of them, each phrase and weight once."""
-    return {k: tuple(dict.fromkeys((*base.get(k, ()), *map(tuple, overrides.get(k, ()))))) for k in {**base, **overrides}}
+    """The rules with more of them; a phrase and weight that is there, in any case, is not
+    added again."""
+    out = {k.lower(): list(rules) for k, rules in base.items()}
+    for kind, rules in overrides.items():
+        own = out.setdefault(kind.lower(), [])
+        for phrase, weight in rules:
+            if (phrase.lower(), int(weight)) not in {(p.lower(), w) for p, w in own}:
+                own.append((phrase, int(weight)))
+    return {k: tuple(rules) for k, rules in out.items()}
 
 
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keywords: dict = KEYWORDS) -> DataFrame:
@@ -130,11 +137,19 @@ def inventory(classified: DataFrame, name: str, k: int = 30) -> DataFrame:
     return n.join(some.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names")), "category")
 
 
-def bank_name(filename: Column, aliases: dict[str, str]) -> Column:
-    """The bank whose longest alias is in the compacted file name."""
-    n = F.regexp_replace(F.lower(filename), "[^a-z0-9]", "")
-    longest = sorted(aliases, key=lambda a: (-len(a), a))
-    return F.coalesce(*[F.when(F.contains(n, F.lit(a)), F.lit(aliases[a])) for a in longest])
+# Names of banks that file names have.
+BANKS = (
+    "axis", "bandhan", "bank of baroda", "bob", "baroda", "canara", "central bank of india", "city union", "federal bank", "hdfc", "icici", "idbi", "idfc", "kotak", "pnb",
+    "punjab national", "rbl", "sbi", "state bank", "union bank", "utkarsh", "varachha", "yes", "yes bank",
+)
+
+
+def bank_name(filename: Column, more: tuple[str, ...] = (), unsorted: str = "_unsorted") -> Column:
+    """The bank whose name, the longest first, is in the compacted file name."""
+    compact = F.regexp_replace(F.lower(filename), "[^a-z0-9]", "")
+    longest = sorted({*BANKS, *more}, key=lambda name: (-len(name), name.lower()))
+    said = [F.when(F.contains(compact, F.lit("".join(c for c in name.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789"))), F.lit(name)) for name in longest]
+    return F.coalesce(*said, F.lit(unsorted))
 
 
 # Words that headers have.

@@ -115,9 +115,9 @@ def call_transfer_correlation(ev, minutes: int = 10) -> DataFrame:
     """For each call its best transfer: of the caller's entity within ten minutes, the
     largest amount; else the largest of the same day. A caller without an entity is
     matched with any account's transfers within ten minutes. A transfer with a date
-    alone is scored by the clock in its narration, where it has one."""
+    alone is scored by the clock in its texts, where they have one."""
     said = calls(ev.tel, ev.ent)
-    pay = owned(ev.tx, ev.acc).select("entity_id", "transaction_id", "transaction_date", F.col("amount").cast("double").alias("amount"), "narration")
+    pay = owned(ev.tx, ev.acc).select("entity_id", "transaction_id", "transaction_date", F.col("amount").cast("double").alias("amount"), X.clock_text(ev.tx.columns).alias("narration"))
     fields = F.struct("transaction_id", "transaction_date", "amount", "narration")
     order = F.struct("amount", "transaction_id")
     known = said.where("entity_id is not null").select("entity_id", "event_id", "call_at")
@@ -133,7 +133,7 @@ def call_transfer_correlation(ev, minutes: int = 10) -> DataFrame:
     best = close.unionByName(day).unionByName(loose)
     best = best.select("event_id", "call_at", "entity_id", "b.transaction_id", "b.transaction_date", "b.amount", "tier", "b.narration")
     clock = X.has_clock(F.col("transaction_date"))
-    said = X.clock_from_text(F.concat_ws(" ", "narration"), F.col("transaction_date"))
+    said = X.clock_from_text(F.col("narration"), F.col("transaction_date"))
     best = best.withColumn("paid", F.when(clock, F.col("transaction_date").cast("timestamp")).otherwise(said.cast("timestamp")))
     delta = F.abs(F.unix_timestamp("paid") - seconds("call_at"))
     exact = F.col("paid").isNotNull()
@@ -163,10 +163,10 @@ def nearest_in_time(points: DataFrame, sites: DataFrame, keys: list[str], reach:
     return both.withColumn("b", F.least(pick("earlier"), pick("later"))).select(*keys, "at", "b.*").where(F.col("gap_sec") <= reach)
 
 
-def nearest_session(ev, near: int = 2, far: int = 6) -> DataFrame:
+def nearest_session(ev, near: int = 2, far: int = 6, correlated: DataFrame | None = None) -> DataFrame:
     """For each correlated call the internet session beside it: within two hours of the
     same phone or of none, else within six hours of anyone; the nearest first."""
-    found = call_transfer_correlation(ev).select("event_id", seconds("call_at").alias("at"))
+    found = (call_transfer_correlation(ev) if correlated is None else correlated).select("event_id", seconds("call_at").alias("at"))
     phones = ev.tel.where("event_type = 'CDR'").select("event_id", F.col("msisdn").alias("phone"))
     found = found.join(phones, "event_id")
     net = ev.tel.where("event_type = 'IPDR'").select(F.col("msisdn").alias("phone"), seconds("event_at").alias("at"), F.struct(F.col("event_id").alias("session_id"), "ip_address").alias("site"))

@@ -7,16 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from . import aggregates as A
 from . import patterns as P
 from . import scoring as S
+from . import timeline as T
 from .aggregates import owned
 
 
 def board_of(ev) -> DataFrame:
-    """The leaderboard's rows, kept: one for each entity, read several times, and a
-    wall that filters on a score's many expressions do not pass."""
-    return S.leaderboard(S.profiles(ev)).persist()
+    """The leaderboard's rows as a table in the shared folder: one for each entity, read
+    several times, and a wall that filters on a score's many expressions do not pass."""
+    return written(S.leaderboard(S.profiles(ev)), "leaderboard")
 
 
 def findings(ev) -> DataFrame:
@@ -50,6 +52,35 @@ def str_report(ev, k: int = 15) -> DataFrame:
     return p.join(top, "entity_id", "left")
 
 
+def full_str(ev, k: int = 15, events: int = 25) -> DataFrame:
+    """For each entity the whole report: profile, its k largest transfers, its latest
+    events of every kind, and the narrative."""
+    said = S.profiles(ev).select("entity_id", "entity_name", "role", "total", "category", "tx_count", "cdr", "ipdr")
+    top = top_of(owned(ev.tx, ev.acc), [F.desc("amount"), "transaction_id"], k, F.struct("transaction_id", F.col("amount").cast("double").alias("amount"), "direction")).withColumnRenamed("top", "transfers")
+    line = T.entity_timeline(ev, events)
+    latest = line.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "at_time", "ref", "title"))).alias("events"))
+    text = F.concat(
+        F.lit("Suspicious Transaction Report for "), F.coalesce(F.nullif("entity_name", F.lit("")), "entity_id"), F.lit(". Risk category: "), "category", F.lit(" (score "), F.col("total").cast("string"),
+        F.lit("/100). Observed "), F.col("tx_count").cast("string"), F.lit(" bank movements, "), F.col("cdr").cast("string"), F.lit(" CDR calls, "), F.col("ipdr").cast("string"), F.lit(" IPDR sessions."),
+    )
+    return said.join(top, "entity_id", "left").join(latest, "entity_id", "left").withColumn("narrative", text)
+
+
+def top_of(rows: DataFrame, order: list, k: int, what) -> DataFrame:
+    """``entity_id, top``: of each entity its k first rows by ``order``, as an array."""
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order))).where(F.col("r") <= k)
+    return first.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", what.alias("x")))), lambda p: p["x"]).alias("top"))
+
+
+def full_dossier(ev, k: int = 10) -> DataFrame:
+    """For each entity its sums by direction, its k most frequent counterparties, and its
+    telecom sums by kind, each an array."""
+    d = A.by_direction(ev).groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("direction", "n", "total"))).alias("directions"))
+    c = A.top_counterparties(ev, k).groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("rank", "counterparty_name", "n", "total"))).alias("counterparties"))
+    t = A.telecom_by_type(ev).groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "n", "duration"))).alias("telecom"))
+    return ev.ent.select("entity_id", "entity_name").join(d, "entity_id", "left").join(c, "entity_id", "left").join(t, "entity_id", "left")
+
+
 def dossier(ev) -> DataFrame:
     """For each entity: ledger sums by direction, telecom counts, first counterparty."""
     d = A.by_direction(ev).groupBy("entity_id").agg(F.sum(F.when(F.col("direction") == "CR", F.col("total"))).alias("credit"), F.sum(F.when(F.col("direction") == "DR", F.col("total"))).alias("debit"), F.sum("n").alias("transactions"))

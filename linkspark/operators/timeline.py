@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..shared import written
 from . import patterns as P
 from .aggregates import owned
 
 
 def resolved(tx: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """Ledger rows with ``resolved_at`` and ``time_source``: the statement's clock, one
-    in the narration, the middle telecom clock of that day, or the date alone.
+    in the texts of the row, the middle telecom clock of that day, or the date alone.
     ``days`` (entity_id, day, mid, has_cdr) is joined on the rows' owner."""
     d = F.col("transaction_date")
-    said = X.clock_from_text(F.concat_ws(" ", "narration"), d)
+    said = X.clock_from_text(X.clock_text(tx.columns), d)
     if days is None:
         linked, label = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
     else:
@@ -23,15 +24,20 @@ def resolved(tx: DataFrame, days: DataFrame | None = None) -> DataFrame:
         linked, label = F.col("mid").cast("timestamp"), F.when(F.col("has_cdr"), "linked_cdr").otherwise("linked_ipdr")
     clock = X.has_clock(d)
     at = F.when(clock, d.cast("timestamp")).otherwise(F.coalesce(said.cast("timestamp"), linked, d.cast("timestamp")))
-    source = F.when(d.isNull(), "unknown").when(clock, "statement").when(said.isNotNull(), "narration").when(linked.isNotNull(), label).otherwise("date_only")
+    source = F.when(clock, "statement").when(said.isNotNull(), "narration").when(linked.isNotNull(), label).when(d.isNotNull(), "date_only").otherwise("unknown")
     return tx.withColumn("resolved_at", at.cast("timestamp_ntz")).withColumn("time_source", source).drop("mid", "has_cdr")
 
 
 def day_clocks(ev) -> DataFrame:
-    """For each entity and day the upper median of its telecom clocks."""
+    """For each entity and day the upper median of its telecom clocks: events are counted
+    by second, of which a day has 86 400, and the counts run up to the middle one."""
     rows = ev.tel.join(ev.ent.select("entity_id", F.col("phone").alias("msisdn")), "msisdn").where(X.has_clock(F.col("event_at")))
-    g = rows.groupBy("entity_id", F.to_date("event_at").alias("day")).agg(F.array_sort(F.collect_list("event_at")).alias("clocks"), F.bool_or(F.col("event_type") == "CDR").alias("has_cdr"))
-    return g.select("entity_id", "day", F.get("clocks", F.floor(F.size("clocks") / 2).cast("int")).alias("mid"), "has_cdr")
+    at = F.date_trunc("second", "event_at").cast(ev.tel.schema["event_at"].dataType)
+    per = rows.groupBy("entity_id", F.to_date("event_at").alias("day"), at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("event_type") == "CDR").alias("has_cdr"))
+    day = Window.partitionBy("entity_id", "day")
+    run = per.select("entity_id", "day", "at", "has_cdr", F.sum("n").over(day.orderBy("at")).alias("upto"), F.sum("n").over(day).alias("total"))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("at")))
+    return run.groupBy("entity_id", "day").agg(middle.alias("mid"), F.bool_or("has_cdr").alias("has_cdr"))
 
 
 def tx_times(ev) -> DataFrame:
@@ -77,7 +83,8 @@ def daily_bursts(ev, least: int = 3, total: int = 100_000) -> DataFrame:
 
 def episodes(ev, k: int | None = None) -> DataFrame:
     """Call-and-transfer coincidences and daily bursts, scored alike."""
-    corr = P.call_transfer_correlation(ev).join(P.nearest_session(ev).select("event_id", F.lit(1).alias("sessions")), "event_id", "left")
+    found = written(P.call_transfer_correlation(ev), "correlation")  # read for the score and for the sessions
+    corr = found.join(P.nearest_session(ev, correlated=found).select("event_id", F.lit(1).alias("sessions")), "event_id", "left")
     score = F.least(F.lit(98), F.floor("score") + F.when(F.col("sessions") == 1, 8).otherwise(0)).cast("long")
     one = corr.select(F.col("event_id").alias("key"), F.lit(1).alias("calls"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.lit(1).cast("long").alias("transfers"), F.col("amount").alias("total"), score.alias("score"), (F.bround((660 - F.least(F.lit(600), F.col("delta_sec"))) / 6, 0) / 10).alias("density"))
     many = daily_bursts(ev).select(F.concat(F.lit("DAY-"), F.col("day").cast("string")).alias("key"), F.lit(0).alias("calls"), F.lit(0).alias("sessions"), "transfers", "total", "score", F.bround(F.col("transfers") / 24, 1).alias("density"))

@@ -79,8 +79,8 @@ ORACLE_SQL["seed_accounts"] = DUCK + " SELECT entity_id, account_id FROM acc WHE
 query("case_seeds", B.case_seeds, "SELECT case_id, count(*) AS seeds, string_agg(entity_id, ',' ORDER BY entity_id) AS ids FROM cases GROUP BY 1")
 query("suspicious_tx", lambda ev: B.suspicious_tx(ev.tx), "SELECT transaction_id, account_id, direction, amount::DOUBLE AS amount FROM tx WHERE amount >= 100000 OR (direction = 'DR' AND amount >= 50000)")
 query("suspicious_calls", lambda ev: B.suspicious_calls(ev.tel), "SELECT event_id, msisdn, b_party, duration_sec FROM tel WHERE event_type = 'CDR' AND ((call_type LIKE 'OUT%' AND duration_sec >= 300) OR duration_sec >= 1800 OR (length(b_party) BETWEEN 1 AND 4 AND call_type LIKE 'OUT%'))")
-query("same_counterparty", B.same_counterparty, """SELECT x.transaction_id, y.transaction_id AS other, y.rank FROM (SELECT transaction_id, counterparty_name FROM tx WHERE amount >= 95000) x JOIN (
- SELECT transaction_id, counterparty_name, (row_number() OVER (PARTITION BY counterparty_name ORDER BY transaction_date DESC, transaction_id DESC))::INT AS rank FROM tx WHERE counterparty_name <> '' QUALIFY rank <= 11) y USING (counterparty_name) WHERE x.transaction_id <> y.transaction_id""")
+query("same_counterparty", B.same_counterparty, """SELECT x.transaction_id, y.transaction_id AS other, y.rank FROM tx x JOIN (SELECT transaction_id, counterparty_name,
+ (row_number() OVER (PARTITION BY counterparty_name ORDER BY transaction_date DESC, transaction_id DESC))::INT AS rank FROM tx WHERE counterparty_name <> '' QUALIFY rank <= 10) y USING (counterparty_name)""")
 query("phone_overlap", B.phone_overlap, "SELECT count(DISTINCT phone) AS phones FROM ent WHERE phone IN (SELECT msisdn FROM tel WHERE event_type = 'CDR')")
 
 RATIO = """+r AS (SELECT transaction_id, account_id, transaction_date, coalesce(sum(amount) FILTER (direction = 'CR') OVER w, 0)::DOUBLE AS credit, coalesce(sum(amount) FILTER (direction = 'DR') OVER w, 0)::DOUBLE AS debit FROM tx

@@ -70,9 +70,9 @@ def _sql(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _doc_sql(table: str, key: str, text: str) -> str:
+def _doc_sql(table: str, key: str, text: str, keywords: dict = C.KEYWORDS) -> str:
     norm = f"lower(trim(regexp_replace(replace(coalesce({text}, ''), chr(0), ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))"
-    sums = ", ".join("(" + " + ".join(f"CASE WHEN contains(t, {_sql(p.strip())}) THEN {w} ELSE 0 END" for p, w in rules) + f")::INT AS {k}" for k, rules in C.KEYWORDS.items())
+    sums = ", ".join("(" + " + ".join(f"CASE WHEN contains(t, {_sql(p.strip())}) THEN {w} ELSE 0 END" for p, w in rules) + f")::INT AS {k}" for k, rules in keywords.items())
     return f"""WITH n AS (SELECT {key}, {norm} AS t FROM {table}), s AS (SELECT {key}, t, {sums} FROM n),
  r AS (SELECT *, greatest(fir, kyc, cctv, bank) AS best, list_sort([fir, kyc, cctv, bank], 'DESC')[2] AS second FROM s)
  SELECT {key}, fir, kyc, cctv, bank, CASE WHEN t = '' THEN 'quarantine' WHEN best < 4 OR (best - second < 2 AND second >= 4) THEN 'other' WHEN fir = best THEN 'fir' WHEN kyc = best THEN 'kyc' WHEN cctv = best THEN 'cctv' ELSE 'bank' END AS category,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import casework, core, intake, layouts, matching, readers, risk, story, upkeep
+from .plans import casework, core, details, intake, layouts, matching, readers, risk, story, upkeep
 
-QUERIES: dict = core.QUERIES | risk.QUERIES | story.QUERIES | intake.QUERIES | readers.QUERIES | casework.QUERIES | layouts.QUERIES | matching.QUERIES | upkeep.QUERIES
-ORACLE_SQL: dict[str, str] = core.ORACLE_SQL | risk.ORACLE_SQL | story.ORACLE_SQL | intake.ORACLE_SQL | readers.ORACLE_SQL | casework.ORACLE_SQL | layouts.ORACLE_SQL | matching.ORACLE_SQL | upkeep.ORACLE_SQL
+_PLANS = (core, risk, story, intake, readers, casework, layouts, matching, upkeep, details)
+QUERIES: dict = {name: run for plans in _PLANS for name, run in plans.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plans in _PLANS for name, sql in plans.ORACLE_SQL.items()}
