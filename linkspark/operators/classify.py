@@ -181,3 +181,59 @@ def resniffed(kind: Column, detected: Column, sniffed: Column, name: Column) ->
     phone = F.regexp_like(F.regexp_replace(n, r"\.[^.]*$", ""), F.lit(r"(?<!\d)[6-9]\d{9}(?!\d)"))
     named = F.regexp_like(n, F.lit(r"\.(xlsx|xls|xlsm|csv|pdf)$")) & F.regexp_like(n, F.lit("stmt|statement|icore|bank|ledger|account"))
     return F.when(phone, "cdr").when(said.isin("cdr", "ipdr"), said).when((said == "bank") & ~F.coalesce(filed.isin("cdr", "ipdr"), F.lit(False)), "bank_statement").otherwise(F.coalesce(filed, F.when(named, "bank_statement")))
+
+
+# Endings of tables and of texts; patterns of core-banking exports, of which
+# three suffice; how sure each way of telling is.
+TABLE_ENDINGS = ("csv", "tsv", "xls", "xlsx", "xlsm")
+TEXT_ENDINGS = ("pdf", "doc", "docx", "txt", "html", "htm", "eml", "jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp", "gif")
+EXPORT_SIGNS = (
+    r"narration|description|particulars", r"\bdr\s*amt\b|\bcr\s*amt\b|debit|credit", r"tran\s*date|transaction\s*date|\bdate\b", r"\bac\s*no\b|account\s*(no|number)|a/?c",
+    r"\bbalance\b", r"tran\s*id|transaction\s*id",
+)
+SURE = {"calls": 0.92, "ledger": 0.88, "named ledger": 0.9, "export": 0.9, "name of a table": 0.65, "name": 0.8, "folder": 0.95, "statement": 0.92, "schema": 0.95, "other json": 0.4, "bank by name": 0.65, "weak": 0.5, "unknown ending": 0.45, "nothing": 0.3}
+
+
+def statement_schema(text: Column) -> Column:
+    """Whether a JSON text is a bank's statement: by words near its start, or by its fields."""
+    head = F.lower(F.left(text, F.lit(4096)))
+    has = lambda *words: sum((F.contains(head, F.lit(f'"{w}"')).cast("int") for w in words), F.lit(0)) > 0
+    near = has("bank_statement") | F.contains(head, F.lit('"document_type": "bank_statement"')) | (has("statement_id") & has("transactions", "account", "bank"))
+    of = lambda path: F.get_json_object(text, path)
+    kind = F.upper(of("$.document.document_type")) == "BANK_STATEMENT"
+    whole = (F.coalesce(of("$.statement_id"), F.lit("")) != "") & (F.startswith(of("$.transactions"), F.lit("[")) | F.startswith(of("$.account"), F.lit("{")))
+    return F.coalesce(near, F.lit(False)) | F.coalesce(kind, F.lit(False)) | F.coalesce(whole, F.lit(False))
+
+
+def upload_kind(name: Column, header: Column, text: Column, keyword: Column, sure: Column, filed: Column, known: Column) -> Column:
+    """``category, confidence`` of an upload. A table goes by its header, then by the signs of
+    an export, then by its name. Anything else goes by a name of calls or sessions, by a bank's
+    folder (``filed``) or statement (``known``) that it belongs to, as JSON by its schema, as
+    text by its ``keyword`` category (and how ``sure`` that is), where the name may know better,
+    and by its name alone."""
+    ending = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    table, text_file, json = ending.isin(*TABLE_ENDINGS), ending.isin(*TEXT_ENDINGS), ending == "json"
+    hint, said = F.coalesce(filename_kind(name), F.lit("")), header_kind(header)
+    export = sum((F.regexp_like(F.lower(header), F.lit(p)).cast("int") for p in EXPORT_SIGNS), F.lit(0)) >= 3
+    ledger = hint.isin("accounts", "transactions")
+    unsure = keyword.isin("quarantine", "fir", "other")
+    rules = [
+        (table & said.isin("cdr", "ipdr"), said, "calls"),
+        (table & (said == "bank") & ledger, hint, "named ledger"),
+        (table & (said == "bank"), said, "ledger"),
+        (table & export, F.lit("bank"), "export"),
+        (table & hint.isin("cdr", "ipdr", "bank", "accounts", "transactions"), hint, "name of a table"),
+        (table, F.lit("quarantine"), None),
+        (hint.isin("cdr", "ipdr"), hint, "name"),
+        (filed, F.lit("bank"), "folder"),
+        (known & (ending.isin("pdf", *TABLE_ENDINGS, "json") & (ending != "tsv")), F.lit("bank"), "statement"),
+        (json & statement_schema(text), F.lit("bank"), "schema"),
+        (json, F.lit("other"), "other json"),
+        (text_file & unsure & (hint == "bank"), hint, "bank by name"),
+        (text_file & (keyword == "quarantine") & (hint != ""), hint, "weak"),
+        (text_file, keyword, sure),
+        (hint != "", hint, "unknown ending"),
+        (F.lit(True), F.lit("other"), "nothing"),
+    ]
+    level = lambda x: x if isinstance(x, Column) else F.lit(SURE[x] if x else 0.0)
+    return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), F.struct(kind.alias("category"), level(p).cast("double").alias("confidence"))) for test, kind, p in rules])
