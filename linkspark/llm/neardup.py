@@ -341,6 +341,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+#: Slots of a bitmap of hashes: 16 MB at most, however many hashes there are.
+SLOTS = 1 << 27
+
+
+def among(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows whose ``node`` may be one of those asked for: all that are, and of the others
+    those whose slot is taken. The bitmap has a fixed size, so that every task can have it,
+    and spares the texts that nothing asks for their way to a join."""
+    slot = F.pmod("node", F.lit(SLOTS)) + 1
+    bits = asked.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    place = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_slot", slot).withColumn("part", F.bitmap_bucket_number("_slot")).join(F.broadcast(bits), "part")
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id, node, class_id, class_node, copies, members``: a row per document;
     ``class_id`` is the smallest id of its class and ``class_node`` the smallest node
@@ -361,7 +377,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     asked = docs.sparkSession.read.schema(nodes.select("node", "first").schema).parquet(asked_at)
     t = text_of(docs, text)
     all_texts = docs.select(F.xxhash64(t).alias("node"), F.col(key).alias("id"), t.alias("t"))
-    texts = asked.join(all_texts, "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "t").dropDuplicates(["node"])
+    texts = asked.join(among(all_texts, asked), "node").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "t").dropDuplicates(["node"])
     spark, at = docs.sparkSession, new_path(docs.sparkSession, "texts")
     with_bits(texts).write.parquet(at)
     drop(spark, asked_at)
