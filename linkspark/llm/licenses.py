@@ -7,6 +7,9 @@ text too. The known digests are a table of fixed size: whole texts are joined to
 hash, lines are looked up in it where they stand. Only lines whose canonical form is
 as long as a known notice's are digested, which leaves none out.
 
+A text that is no known one is looked up once more without what stands before it: a
+title that says "licence", and copyright lines, be they names alone.
+
 Defined cases: a null text counts as empty and matches nothing; long texts are read
 whole; repeated rows give repeated result rows; an empty table gives an empty result; other columns of the
 input are not read, whatever their names.
@@ -37,6 +40,13 @@ EQUIVALENT = (
     ("http://", "https://"),
 )
 COPYRIGHT_LINE = r"(^|\n)[\x20\t*#/;]*(copyright[\x20\t]*(\(c\)|\x{00A9}|[0-9<\[])|\(c\)[\x20\t]*[0-9<\[]|\x{00A9}|all rights reserved)[^\n]*"
+#: What may stand before a licence's own text, in lower case: titles, copyright lines with or
+#: without a year, and blank lines; and whether a text has such a head with something in it.
+HEAD = (
+    r"^(?:[\x20\t*#/;=-]*(?:[a-z0-9\x22(][a-z0-9\x20\t.,/\x22\x27()+-]{0,80}licen[sc]e[a-z0-9\x20\t.,/\x22\x27():+-]{0,60}|copyright[^\n]*|\(c\)[^\n]*|\x{00A9}[^\n]*|all rights reserved[^\n]*)?"
+    r"[\x20\t\r*#/;=-]*\n)+"
+)
+HEADED = r"^[\x20\t\r\n*#/;=-]*(?:[^\n]{0,82}licen[sc]e|copyright|\(c\)|\x{00A9}|all rights)"
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
 THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
@@ -194,6 +204,12 @@ def canonical(text: Column) -> Column:
     return _words(_plain(text))
 
 
+def beheaded(text: Column) -> Column:
+    """``canonical`` of the text behind its title and copyright lines; null without such."""
+    low = F.lower(text)
+    return F.when(F.regexp_like(low, F.lit(HEADED)), canonical(F.regexp_replace(low, HEAD, "")))
+
+
 def _plain(text: Column) -> Column:
     """``canonical`` but for the last step, with the line ends still there."""
     t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
@@ -230,12 +246,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     notices = notice_table(spark)
     table = F.create_map(*[F.lit(x) for digest, name, _ in notices for x in (digest, name)])
     lengths = F.array(*[F.lit(n) for n in sorted({n for _, _, n in notices})])
-    plain = docs.select(F.col(key).alias("k"), _plain(text_of(docs, text)).alias("p"))
+    plain = docs.select(F.col(key).alias("k"), _plain(text_of(docs, text)).alias("p"), F.sha2(beheaded(text_of(docs, text)), 256).alias("own"))
     lines = F.filter(F.transform(F.split("p", "\n", -1), _words), lambda x: F.array_contains(lengths, F.length(x)))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(table, F.sha2(x, 256))), lambda x: x.isNotNull())
-    whole = plain.select("k", F.sha2(_words(F.col("p")), 256).alias("digest"), found.alias("found"))
+    whole = plain.select("k", F.sha2(_words(F.col("p")), 256).alias("digest"), "own", found.alias("found"))
     whole = whole.join(known, whole["digest"] == known["known"], "left")
-    return whole.select(F.col("k").alias(key), "digest", "license", F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))
+    named = known.select(F.col("known").alias("own"), F.col("license").alias("titled"))
+    whole = whole.join(F.broadcast(named), "own", "left")
+    return whole.select(F.col("k").alias(key), "digest", F.coalesce("license", "titled").alias("license"), F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -265,7 +283,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 hits AS (SELECT r, k.license FROM lines JOIN known k ON sha256({_sql_canonical("line")}) = k.known),
 notices AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM hits GROUP BY r),
-w AS (SELECT r, doc_id, sha256({_sql_canonical("text")}) AS digest FROM d)
-SELECT w.doc_id, w.digest, k.license, coalesce(n.n, 0)::BIGINT AS n_notices, coalesce(n.notices, '') AS notices
-FROM w LEFT JOIN known k ON w.digest = k.known LEFT JOIN notices n ON w.r = n.r
+w AS (SELECT r, doc_id, sha256({_sql_canonical("text")}) AS digest, CASE WHEN regexp_matches(lower(text), {_sql_text(HEADED)}) THEN sha256({_sql_canonical(f"regexp_replace(lower(text), {_sql_text(HEAD)}, '')")}) END AS own FROM d)
+SELECT w.doc_id, w.digest, coalesce(k.license, t.license) AS license, coalesce(n.n, 0)::BIGINT AS n_notices, coalesce(n.notices, '') AS notices
+FROM w LEFT JOIN known k ON w.digest = k.known LEFT JOIN known t ON w.own = t.known LEFT JOIN notices n ON w.r = n.r
 """
