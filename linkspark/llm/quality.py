@@ -22,9 +22,15 @@ from pyspark.sql import functions as F
 from .common import WS, WS_CHARS, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
-#: A line of prose ends with one of these; quotes, brackets and white space may follow.
-CLOSING = ".!?:;\u2026\u3002"
-AFTER_CLOSING = WS_CHARS + "\"')]\u201d\u2019\u00bb"
+# The marks that end a sentence or a clause in Unicode's scripts: ASCII, the
+# ellipsis, Armenian, Arabic and Urdu, Syriac, Devanagari, Tibetan, Burmese, Ethiopic, Khmer,
+# Mongolian, double and mixed marks, ideographic, vertical, small and full-width forms.
+CLOSING = (
+    ".!?:;\u2026" "\u0589" "\u061f\u061b\u06d4" "\u0700\u0701\u0702" "\u0964\u0965" "\u0f0d\u0f0e" "\u104a\u104b" "\u1361\u1362\u1366\u1367\u1368" "\u17d4\u17d5"
+    "\u1803\u1809" "\u203c\u203d\u2047\u2048\u2049" "\u3002" "\ufe12\ufe15\ufe16" "\ufe52\ufe54\ufe55\ufe56\ufe57" "\uff01\uff0e\uff1a\uff1b\uff1f\uff61"
+)
+#: Quotes, brackets and white space may follow.
+AFTER_CLOSING = WS_CHARS + "\"')]\u201d\u2019\u00bb\u203a\u300d\u300f\uff09\u3011"
 #: What stands between the entries of a menu or a breadcrumb line.
 SEPARATORS = r"[|>\x{00BB}\x{2022}\x{00B7}]"
 MARKS = r"[#*$%&|<>\x{00BB}\x{2022}\x{00B7}]"
