@@ -10,7 +10,8 @@ the exact cosine.
 A bounded sample (SAMPLE queries) is searched exactly, over all rows, to fit r and
 the number of visits that reaches RECALL on it; every row is in the index. Where no
 number of visits up to MOST does, there are twice the tables, and then projections
-less by one: tables of every size are searched in this way. A cell with many rows or
+less by one, down to none, where one cell holds all rows and the search is exact:
+tables of every size are searched in this way. A cell with many rows or
 many visits is split over tasks; each pair of parts meets, so nothing is capped. Of
 equal vectors only the k + 1 smallest ids can be an answer, and only those are indexed.
 
@@ -51,12 +52,19 @@ def _erf(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * (1 - tail * np.exp(-x * x))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that no square leaves the range."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, the same whatever rows stand beside."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -173,7 +181,7 @@ def fit(index: DataFrame, queries: DataFrame, k: int, dim: int, n: int) -> tuple
             need = int(np.quantile(ranks, RECALL, method="higher")) + 1
             if need <= visits.shape[2]:
                 return hashing, need
-    return hashing, visits.shape[2]
+    return Hashing(dim, 0, 1, r), 1  # one cell of all rows: every query meets each of them
 
 
 def search(rows: DataFrame, queries: DataFrame | None = None, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
