@@ -142,10 +142,11 @@ def call_transfer_correlation(ev, minutes: int = 10) -> DataFrame:
     return best.withColumn("delta_sec", F.when(exact, delta).otherwise(0)).withColumn("time_source", source).withColumn("score", score).drop("narration", "paid")
 
 
-def nearest_in_time(points: DataFrame, sites: DataFrame, keys: list[str], reach: int) -> DataFrame:
+def nearest_in_time(points: DataFrame, sites: DataFrame, keys: list[str], reach: Column | int) -> DataFrame:
     """``keys, at, gap_sec, site``: for each moment of ``points`` (keys, at) the site of
     ``sites`` (keys, at, site: a struct that begins with its id) nearest in time, within
-    ``reach`` seconds; of two as near the one with the smaller id.
+    ``reach`` seconds, a number or one of the keys; of two as near the one with the
+    smaller id.
 
     Of a key's sites in one second only the first counts, so a stretch of time holds as
     many rows as seconds at most; each is sorted once forwards and once backwards."""
@@ -170,11 +171,13 @@ def nearest_session(ev, near: int = 2, far: int = 6, correlated: DataFrame | Non
     phones = ev.tel.where("event_type = 'CDR'").select("event_id", F.col("msisdn").alias("phone"))
     found = found.join(phones, "event_id")
     net = ev.tel.where("event_type = 'IPDR'").select(F.col("msisdn").alias("phone"), seconds("event_at").alias("at"), F.struct(F.col("event_id").alias("session_id"), "ip_address").alias("site"))
-    same = nearest_in_time(found, net.where("phone <> ''"), ["phone"], near * HOUR).select("phone", "at", F.struct("gap_sec", "site").alias("same"))
-    blank = nearest_in_time(found, net.where("phone = ''"), [], near * HOUR).select("at", F.struct("gap_sec", "site").alias("blank"))
-    anyone = nearest_in_time(found, net, [], far * HOUR).select("at", F.struct("gap_sec", "site").alias("anyone"))
-    met = found.join(same, ["phone", "at"], "left").join(blank, "at", "left").join(anyone, "at", "left")
-    close = F.least("same", "blank")
-    best = F.coalesce(close, F.col("anyone"))
-    met = met.select("event_id", best.alias("b"), F.when(close.isNotNull(), 1).otherwise(2).alias("tier")).where("b is not null")
-    return met.select("event_id", "b.site.session_id", "b.site.ip_address", "b.gap_sec", "tier")
+    # every session counts for anyone, and for its phone or as one without; a group and its reach are one key, so all are sorted together
+    group = lambda name, hours: F.struct(name.alias("whose"), F.lit(hours * HOUR).alias("reach"))
+    own, blank, anyone = F.concat(F.lit("="), "phone"), F.lit("blank"), F.lit("anyone")
+    asked = found.select("event_id", "at", F.explode(F.array(group(own, near), group(blank, near), group(anyone, far))).alias("g")).select("event_id", "at", "g.*")
+    site = net.select("at", "site", F.explode(F.array(group(F.when(F.col("phone") != "", own).otherwise(blank), near), group(anyone, far))).alias("g")).select("at", "site", "g.*")
+    keys = ["whose", "reach"]
+    beside = asked.join(nearest_in_time(asked, site, keys, F.col("reach")), [*keys, "at"])
+    tier = F.when(F.col("whose") == anyone, 2).otherwise(1)
+    met = beside.groupBy("event_id").agg(F.min(F.struct(tier.alias("tier"), "gap_sec", "site")).alias("b"))
+    return met.select("event_id", "b.site.session_id", "b.site.ip_address", "b.gap_sec", "b.tier")

@@ -223,3 +223,55 @@ ORACLE_SQL["field_rules"] = f"""WITH e AS (SELECT event_id, user_id AS u, value:
   left(regexp_replace(string_split(file, '/')[-1], '[^A-Za-z0-9._\\- ]+', '_', 'g'), 180) AS file,
   CASE WHEN regexp_full_match(trim(spent), '[0-9]+(\\.0+)?') THEN string_split(trim(spent), '.')[1]::INT WHEN len(p) = 3 AND regexp_full_match(trim(spent), '[0-9:]+') THEN p[1]::INT * 3600 + p[2]::INT * 60 + p[3]::INT WHEN len(p) = 2 AND regexp_full_match(trim(spent), '[0-9:]+') THEN p[1]::INT * 60 + p[2]::INT END AS spent,
   {_RUPEES.format("money")} AS rupees, CASE WHEN moment::TIME = TIME '00:00:00' THEN strftime(moment, '%d-%b-%Y') ELSE strftime(moment, '%d-%b-%Y %H:%M:%S') END AS shown, date_trunc('day', moment)::TIMESTAMP + to_seconds(round_even(k / 1000 * 86400, 0)::INT) AS moment FROM d"""
+
+# --- cases in every state, their documents, and the hashes of sessions ---
+
+
+def _states(ev) -> DataFrame:
+    """The active case where one is active, where none is, and where there is no case."""
+    cases = ev.cases.select("case_id", F.when(F.col("case_id") == "CASE-B", "active").otherwise("open").alias("status"))
+    forms = {"one": cases, "none": cases.withColumn("status", F.lit("closed")), "empty": cases.limit(0)}
+    out = None
+    for name, frame in forms.items():
+        part = W.active_case(frame).withColumn("form", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+query(
+    "active_case_states",
+    _states,
+    """s AS (SELECT DISTINCT case_id, CASE WHEN case_id = 'CASE-B' THEN 'active' ELSE 'open' END AS status FROM cases)
+ SELECT * FROM (SELECT case_id, status, 'one' AS form FROM s ORDER BY status <> 'active', case_id LIMIT 1) UNION ALL SELECT min(case_id), 'closed', 'none' FROM s UNION ALL SELECT 'FIR-UNASSIGNED', 'open', 'empty'""",
+)
+_CASE_OF = "CASE WHEN lang IN ('aa', 'en') OR source LIKE '%1' THEN 'CASE-A' WHEN lang IS NULL THEN NULL ELSE 'CASE-B' END"
+
+
+def _case_texts(spark, sf_dir: str) -> DataFrame:
+    """The newest documents of the active case: its language and source give a document
+    to a case, the length of its text stands for when it came."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{_CASE_OF} AS case_id", "length(text) AS uploaded_at")
+    ev = evidence(spark, sf_dir)
+    cases = ev.cases.select("case_id", F.when(F.col("case_id") == "CASE-B", "active").otherwise("open").alias("status"))
+    return W.case_documents(docs, cases)
+
+
+QUERIES["case_texts"] = _case_texts
+ORACLE_SQL["case_texts"] = f"SELECT doc_id, case_id, uploaded_at FROM (SELECT doc_id, {_CASE_OF} AS case_id, length(text)::INT AS uploaded_at FROM documents) WHERE case_id = 'CASE-B' ORDER BY uploaded_at DESC, doc_id LIMIT 300"
+
+
+def _hashes(ev) -> DataFrame:
+    from .readers import _sessions
+
+    rows = _sessions(ev).select(F.element_at("extra", "Odd").alias("ref"), "event_hash")
+    return rows.where(F.regexp_extract("ref", r"(\d+)$", 1).cast("long") % 3 < 2)
+
+
+query(
+    "session_hashes",
+    _hashes,
+    # twelve fields: five of numbers, three addresses, two dates and two clocks
+    """n AS (SELECT *, split_part(event_id, '_', 2)::BIGINT % 3 AS layout, event_at + to_seconds(duration_sec) AS ended FROM tel WHERE event_type = 'IPDR')
+ SELECT event_id AS ref, substr(sha256(concat_ws('|', CASE WHEN msisdn <> '' THEN msisdn WHEN layout = 0 THEN 'None' ELSE '' END, '', '', '', '', ip_address, '', '', strftime(event_at, '%Y-%m-%d'), strftime(event_at, '%H:%M:%S'),
+  strftime(CASE WHEN layout = 0 THEN ended ELSE event_at END, '%Y-%m-%d'), CASE WHEN layout = 0 THEN strftime(ended, '%H:%M:%S') ELSE '00:00:00' END)), 1, 16) AS event_hash FROM n WHERE layout < 2""",
+)
