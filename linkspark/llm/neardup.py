@@ -341,8 +341,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-#: Slots of a bitmap of hashes: 16 MB at most, however many hashes there are.
-SLOTS = 1 << 27
+#: Slots of a bitmap of hashes: 2 MB at most, however many hashes there are.
+SLOTS = 1 << 24
 
 
 def among(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -350,7 +350,9 @@ def among(rows: DataFrame, asked: DataFrame) -> DataFrame:
     those whose slot is taken. The bitmap has a fixed size, so that every task can have it,
     and spares the texts that nothing asks for their way to a join."""
     slot = F.pmod("node", F.lit(SLOTS)) + 1
-    bits = asked.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    # slots move, not bitmaps of one bit each
+    slots = asked.select(slot.alias("s")).withColumn("part", F.bitmap_bucket_number("s")).repartition("part")
+    bits = slots.groupBy("part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     place = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = rows.withColumn("_slot", slot).withColumn("part", F.bitmap_bucket_number("_slot")).join(F.broadcast(bits), "part")
