@@ -117,9 +117,27 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~F.trim(c).isin("<NA>", "nan", "None", "NaT", "NaN", ""), F.trim(c))
 
 
+def two_places(x: Column) -> Column:
+    """A number with two decimals, as text, by the number's exact value; only a value that
+    is exactly in the middle goes to the even cent. Where the third decimal seems to be a
+    5, the error of the product by a thousand, which is known exactly, decides."""
+    x = x.cast("double")
+    v = F.abs(x)
+    p = v * 1000
+    n = F.rint(p)
+    high = v * 134217729.0 - (v * 134217729.0 - v)
+    error = (high * 1000 - p) + (v - high) * 1000
+    beside, down = (p - n) + error, F.floor(n / 10)
+    middle = F.when(beside < 0, down).when(beside > 0, down + 1).otherwise(down + down % 2)
+    cents = F.when(n % 10 == 5, middle).otherwise(F.rint(v * 100)).cast("long")
+    return F.concat(F.when((x < 0) & (cents > 0), "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def rupees(amount: Column) -> Column:
     """An amount in crores, lakhs or rupees, as text."""
-    return F.when(amount >= 1e7, F.concat(F.format_string("₹%.2f", amount / 1e7), F.lit(" Cr"))).when(amount >= 1e5, F.concat(F.format_string("₹%.2f", amount / 1e5), F.lit(" L"))).otherwise(F.concat(F.lit("₹"), F.format_number(amount, 0)))
+    sign = F.lit("₹")
+    whole = F.concat(sign, F.format_number(F.bround(amount, 0), 0))
+    return F.when(amount >= 1e7, F.concat(sign, two_places(amount / 1e7), F.lit(" Cr"))).when(amount >= 1e5, F.concat(sign, two_places(amount / 1e5), F.lit(" L"))).otherwise(whole)
 
 
 def header(text: Column) -> Column:

@@ -79,7 +79,7 @@ def stack_summary(ev) -> DataFrame:
 
 def flagged_layering(rows: DataFrame) -> DataFrame:
     """``id, title, detail`` of flagged ledger rows."""
-    detail = F.format_string("Outgoing/Ingoing ratio: %.2f | Credit ₹%.2f | Debit ₹%.2f", "ratio", "credit", "debit")
+    detail = F.concat(F.lit("Outgoing/Ingoing ratio: "), X.two_places(F.col("ratio")), F.lit(" | Credit ₹"), X.two_places(F.col("credit")), F.lit(" | Debit ₹"), X.two_places(F.col("debit")))
     return rows.select(F.col("transaction_id").alias("id"), F.concat(F.lit("Transaction "), "transaction_id").alias("title"), detail.alias("detail"))
 
 

@@ -78,7 +78,9 @@ def _headers(ev) -> DataFrame:
     cells = F.array(*map(F.lit, _CELLS))
     at = lambda j: F.get(cells, ((F.col("u") * (2 * j + 1) + F.lit(j * j)) % len(_CELLS)).cast("int"))
     found = ev.ent.select("u", L.placed(F.array(*[at(j) for j in range(_WIDTH)]), S.CDR_ALIASES, S.CDR_WEAK).alias("places"))
-    return found.select("u", F.posexplode("places").alias("field", "place")).where("place >= 0").select("u", F.get(F.array(*map(F.lit, S.CDR_ALIASES)), F.col("field")).alias("field"), "place")
+    # the names are exploded, not the places, which would be worked out again for a filter that Spark infers
+    named = found.select("u", "places", F.posexplode(F.array(*map(F.lit, S.CDR_ALIASES))).alias("at", "field"))
+    return named.select("u", "field", F.get("places", F.col("at")).alias("place")).where("place >= 0")
 
 
 def _values(rows) -> str:

@@ -68,3 +68,10 @@ def test_middle_clock_of_many_events(spark):
         if at.time() != dt.time(0):
             days.setdefault((f"E{phone[1:]}", at.date()), []).append((at, kind))
     assert got == {k: (sorted(a for a, _ in v)[len(v) // 2], any(t == "CDR" for _, t in v)) for k, v in days.items()}
+
+
+def test_two_places_by_the_exact_value(spark):
+    rnd = random.Random(3)
+    numbers = [1.125, 1.375, 0.975, 2.675, 1.005, 26.075, 0.0, 0.005, 0.015, -1.125, -0.001, 99.995, 1234567.885] + [rnd.randint(0, 10**6) / 1000 for _ in range(3000)] + [rnd.uniform(0, 1e6) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", X.two_places(F.col("x")).alias("t"))
+    assert {r["x"]: r["t"] for r in df.collect()} == {x: f"{x:.2f}".replace("-0.00", "0.00") for x in numbers}
