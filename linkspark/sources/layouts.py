@@ -74,7 +74,8 @@ def placed(headers: Column, aliases: dict[str, tuple[str, ...]], weak: dict[str,
     out = F.aggregate(every, taken(none, none), take, places)
     for name, words in (weak or {}).items():
         out = F.element_at(F.transform(F.array(out), _certain(cells, F.array(*map(F.lit, words)), names.index(name))), 1)
-    return out
+    # never null, or Spark infers a filter from what reads it and works all out again for that, below an aggregate even
+    return F.coalesce(out, F.array().cast("array<int>"))
 
 
 def _certain(cells: Column, words: Column, field: int):

@@ -92,3 +92,11 @@ def test_nearest_sessions_are_the_brute_ones(spark):
         if near:
             want[k, at] = min(near)
     assert got == want
+
+
+def test_places_are_worked_out_once_an_entity(spark):
+    """No inferred filter works them out again, for every event below the distinct entities."""
+    from linkspark.registry import QUERIES
+
+    plan = QUERIES["header_assignment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1
