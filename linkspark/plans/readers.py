@@ -118,7 +118,7 @@ def _statements(ev) -> DataFrame:
     amount = F.col("amount").cast("double")
     row = F.struct("transaction_id", F.date_format("transaction_date", "yyyy-MM-dd HH:mm:ss").alias("transaction_date"), F.when(F.col("direction") == "CR", amount).alias("credit_amount"), F.when(F.col("direction") == "DR", amount).alias("debit_amount"), F.when(F.col("mode") != "", F.col("direction")).alias("transaction_direction"), "narration", F.struct(F.col("counterparty_name").alias("name")).alias("counterparty"))
     docs = tx.groupBy("account_id", "month").agg(F.collect_list(row).alias("transactions"))
-    text = F.to_json(F.struct(F.concat_ws("_", "account_id", "month").alias("statement_id"), F.struct("account_id").alias("account"), "transactions"))
+    text = F.to_json(F.struct(F.concat("account_id", F.lit("_"), "month").alias("statement_id"), F.struct("account_id").alias("account"), "transactions"))
     _, ledger = S.statements(docs.select(F.from_json(text, S.STATEMENT).alias("d")).select("d.*"))
     return ledger.select("transaction_id", "account_id", "statement_id", "transaction_date", F.col("amount").cast("double").alias("amount"), "direction", "narration", "counterparty_name")
 

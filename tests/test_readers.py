@@ -100,3 +100,21 @@ def test_places_are_worked_out_once_an_entity(spark):
 
     plan = QUERIES["header_assignment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_sort(") == 1
+
+
+def test_statements_of_nothing_and_of_no_day(spark, tmp_path):
+    """A credit of 0 without a word for its direction, and a transfer without a moment."""
+    import duckdb
+
+    from linkspark.registry import ORACLE_SQL, QUERIES
+
+    duck = duckdb.connect()
+    duck.sql(f"""copy (select i::bigint as event_id, case when i <> 5 then timestamp '2024-01-31 10:00:00' + interval (i) hour end as ts, (i % 4 + 1)::bigint as user_id,
+     case when i % 2 = 0 then 'purchase' else 'signup' end as event_type, case when i % 5 < 3 then 0e0 else i * 1.25e0 end as value, '{{"k": ' || i || '}}' as props from range(24) as r(i)) to '{tmp_path}/events.parquet' (format parquet)""")
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = duck.sql(ORACLE_SQL["read_statements"])
+    rows = [dict(zip(want.columns, map(str, r), strict=True)) for r in want.fetchall()]
+    got = [{c: str(r[c]) for c in want.columns} for r in QUERIES["read_statements"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    both = spark.sql("select 's' statement_id, array(named_struct('transaction_id', 't', 'credit_amount', 0d, 'debit_amount', 0d)) transactions").selectExpr("to_json(struct(*)) j").select(F.from_json("j", files.STATEMENT).alias("d")).select("d.*")
+    assert [r["direction"] for r in files.statements(both)[1].collect()] == ["DR"]
