@@ -53,26 +53,39 @@ def number_matches(runs: DataFrame, numbers: DataFrame, least: int = 5, suffix:
 def name_best(words: DataFrame, names: DataFrame, size: int = 4) -> DataFrame:
     """``doc, id, hits``: of the names (``id, text``) the one that holds most of a
     document's words (``doc, words``, distinct), the larger id among equals; documents
-    without a hit are left out.
+    without a hit are left out. Ids differ; words of fewer than ``size`` letters count for
+    nothing.
+
+    Documents of the same words have the same answer, and of names that hold the same
+    words the one with the largest id is enough: sets of words are compared, each once, and
+    not documents with names.
 
     Words are taken from the rarest to the most common. A name that holds none of a
     document's first j words can hold its other ones at most, so the next word is read
-    only for documents whose best is not above their number. Before the last word there
-    is nothing to read: names that hold no other word hit once, and of those the largest
-    id, known for each word, is enough."""
-    tokens = words.select("doc", F.explode("words").alias("needle"))
-    index = written(holders(tokens, names, size, "a-z"), "name-index")
-    stats = index.groupBy("needle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-    ranked = tokens.join(stats, "needle").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "needle", "top"))).alias("w"))
-    docs = written(words.join(ranked, "doc"), "name-documents")
-    most = docs.agg(F.max(F.size("w"))).first()[0] or 0
-    best = docs.select("doc", "words", "w", F.lit(None).cast(names.schema["id"].dataType).alias("id"), F.lit(0).alias("hits"))
+    only for sets whose best is not above their number. Before the last word there is
+    nothing to read: names that hold no other word hit once, and of those the largest id,
+    known for each word, is enough. What holds a common word is dealt to PART sets a task."""
+    kind = names.schema["id"].dataType
+    sets = words.select("doc", F.array_sort(F.array_distinct(F.filter("words", lambda w: F.length(w) >= size))).alias("words")).where(F.size("words") > 0)
+    asked = sets.select("words").distinct()
+    index = holders(asked.select(F.explode("words").alias("needle")), names, size, "a-z")
+    held = index.groupBy("id").agg(F.sort_array(F.collect_list("needle")).alias("held"))
+    held = written(held.groupBy("held").agg(F.max("id").alias("id")), "name-sets")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    of = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    postings = held.select("held", "id", F.explode("held").alias("needle"))
+    stats = postings.groupBy("needle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).withColumn("parts", parts)
+    dealt = written(postings.join(stats.select("needle", "parts"), "needle").select("needle", of, "held", "id"), "name-index")
+    known = asked.select("words", F.explode("words").alias("needle")).join(stats, "needle")
+    ranked = known.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("n", "needle", "top", "parts"))).alias("w"))
+    best = written(ranked.select("words", "w", F.lit(None).cast(kind).alias("id"), F.lit(0).alias("hits")), "name-best")
+    most = best.agg(F.max(F.size("w"))).first()[0] or 0
     for j in range(most):
-        left = F.size("w") - j
-        ask = best.where((left > 1) & (F.col("hits") <= left)).select("doc", "words", F.get("w", F.lit(j))["needle"].alias("needle"))
-        met = ask.join(index, "needle").join(names, "id").select("doc", "id", F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))).alias("hits"))
-        found = met.groupBy("doc").agg(F.max(F.struct("hits", "id")).alias("b"))
-        last = F.when((left == 1) & (F.col("hits") <= 1), F.struct(F.lit(1).alias("hits"), F.get("w", F.lit(j))["top"].alias("id")))
-        better = F.greatest(F.struct("hits", "id"), F.coalesce("b", F.struct(F.lit(0).alias("hits"), F.lit(None).cast(names.schema["id"].dataType).alias("id"))), last)
-        best = written(best.join(found, "doc", "left").select("doc", "words", "w", better.alias("r")).select("doc", "words", "w", "r.id", "r.hits"), "name-best")
-    return best.select("doc", "id", "hits").where("hits > 0")
+        left, word = F.size("w") - j, F.get("w", F.lit(j))
+        ask = best.where((left > 1) & (F.col("hits") <= left)).select("words", word["needle"].alias("needle"), F.explode(F.sequence(F.lit(0), word["parts"] - 1)).alias("part"))
+        met = ask.join(dealt, ["needle", "part"]).select("words", "id", F.size(F.array_intersect("words", "held")).alias("hits"))
+        found = met.groupBy("words").agg(F.max(F.struct("hits", "id")).alias("b"))
+        last = F.when((left == 1) & (F.col("hits") <= 1), F.struct(F.lit(1).alias("hits"), word["top"].alias("id")))
+        better = F.greatest(F.struct("hits", "id"), F.coalesce("b", F.struct(F.lit(0).alias("hits"), F.lit(None).cast(kind).alias("id"))), last)
+        best = written(best.join(found, "words", "left").select("words", "w", better.alias("r")).select("words", "w", "r.id", "r.hits"), "name-best")
+    return sets.join(best.where("hits > 0").select("words", "id", "hits"), "words").select("doc", "id", "hits")

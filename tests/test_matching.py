@@ -31,3 +31,21 @@ def test_best_names_equal_all_pairs(spark):
     want = {d: max((sum(w in t for w in ws), i) for i, t in names) for d, ws in docs}
     assert got == {d: b for d, b in want.items() if b[0]}
     assert {b[0] for b in got.values()} >= {1, 2, 3}
+
+
+def test_sets_of_words_meet_and_not_documents_and_names(spark, monkeypatch):
+    """Common words only: no table of a step grows with documents or names."""
+    rows = []
+
+    def written(df, name, keep=M.written):
+        out = keep(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", written)
+    words = ["kumar", "singh", "holder", "mehta"]
+    names = [(i, " ".join(w for k, w in enumerate(words) if i % 16 >> k & 1)) for i in range(800)]
+    docs = [(d, [w for k, w in enumerate(words) if d % 16 >> k & 1][::-1]) for d in range(600)]
+    got = {r["doc"]: (r["hits"], r["id"]) for r in M.name_best(spark.createDataFrame(docs, "doc long, words array<string>"), spark.createDataFrame(names, "id long, text string")).collect()}
+    assert got == {d: max((sum(w in t for w in ws), i) for i, t in names) for d, ws in docs if ws}
+    assert max(rows) <= 64
