@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 # Phrases and weights of each kind of document, in the order of ties.
 KEYWORDS = {
     "fir": (("first information report", 8), ("fir no", 6), ("fir number", 6), ("fir/", 4), (" police station", 3), ("complainant", 4), ("accused", 3), ("under section", 4), ("u/s", 3), ("ipc", 3), ("it act", 3), ("cyber crime", 3), ("nccrp", 4), ("investigation", 1), ("cognizable", 3), ("registered the fir", 5)),
@@ -29,10 +31,14 @@ def _total(rules, test) -> Column:
     return sum((F.when(test(p), w).otherwise(0) for p, w in rules), F.lit(0)).cast("int")
 
 
-def document_scores(text: Column, keywords: dict = KEYWORDS) -> dict[str, Column]:
-    """The sum of each kind's phrases that a text holds, spaces at a phrase's ends
-    not counting. The whole text is made lower case, white space one space."""
-    t = F.lower(F.trim(F.regexp_replace(F.replace(text, F.lit("\0"), F.lit(" ")), r"\s+", " ")))
+def document_text(text: Column) -> Column:
+    """The whole text in lower case, white space one space."""
+    return F.lower(F.trim(F.regexp_replace(F.replace(text, F.lit("\0"), F.lit(" ")), r"\s+", " ")))
+
+
+def document_scores(t: Column, keywords: dict = KEYWORDS) -> dict[str, Column]:
+    """The sum of each kind's phrases that a ``document_text`` holds, spaces at a phrase's
+    ends not counting."""
     return {k: _total(rules, lambda p: F.contains(t, F.lit(p.strip()))) for k, rules in keywords.items()}
 
 
@@ -51,7 +57,7 @@ def merged_rules(overrides: dict, base: dict = KEYWORDS) -> dict:
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keywords: dict = KEYWORDS) -> DataFrame:
     """``key, fir, kyc, cctv, bank, category, confidence, status``."""
     kinds = list(keywords)
-    scores = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, "_t", *[c.alias(k) for k, c in document_scores(F.col("_t"), keywords).items()])
+    scores = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, "_t", document_text(F.col("_t")).alias("_n")).select(key, "_t", *[c.alias(k) for k, c in document_scores(F.col("_n"), keywords).items()])
     ranked = F.sort_array(F.array(*[F.struct(F.col(k).alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(kinds)]), asc=False)
     best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     empty = F.trim("_t") == ""
@@ -129,11 +135,14 @@ def report(classified: DataFrame) -> DataFrame:
 
 
 def inventory(classified: DataFrame, name: str, k: int = 30) -> DataFrame:
-    """How many of each category, and the k first names, which are found by rank."""
+    """How many of each category, and the k first names, which are found by rank. The
+    categories are written once, or the texts were read and scored for each part and again
+    for the filters that Spark infers."""
     from .browse import first_of
 
-    n = classified.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    some = first_of(classified.select("category", F.col(name).cast("string").alias("name")), ["category"], ["name"], k)
+    found = written(classified.select("category", F.col(name).cast("string").alias("name")), "inventory")
+    n = found.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    some = first_of(found, ["category"], ["name"], k)
     return n.join(some.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names")), "category")
 
 

@@ -137,3 +137,11 @@ def test_statement_lines_use_the_balance(spark):
     rows = [("d", 1, "01-02-2024 opening balance 5,000.00Cr"), ("d", 2, "01-02-2024 pay 1,000.00 4,000.00Cr"), ("d", 3, "02-02-2024 got 500.00 4,500.00Cr"), ("d", 4, "03-02-2024 pay 100.00 4,400.00Cr")]
     got = files.statement_lines(spark.createDataFrame(rows, "doc string, line_no int, value string")).orderBy("line_no").collect()
     assert [(float(r["amount"]), r["direction"]) for r in got][1:] == [(500.0, "CR"), (100.0, "DR")]
+
+
+def test_the_inventory_scores_a_text_once(spark):
+    """Neither its parts nor inferred filters score the texts again."""
+    docs = spark.createDataFrame([(i, ["Bank statement", " x ", ""][i % 3]) for i in range(100)], "doc_id long, text string")
+    found = C.inventory(C.documents(docs).withColumn("name", F.format_string("d%03d", "doc_id")), "name", 2)
+    assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {(r["category"], r["n"], r["names"]) for r in found.collect()} == {("bank", 34, "d000,d003"), ("other", 33, "d001,d004"), ("quarantine", 33, "d002,d005")}
