@@ -16,9 +16,10 @@ from .matching import name_best, number_matches
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the row that is last by ``order``: a maximum, combined before the
     shuffle, so that one hot key does not meet in a task."""
-    rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, F.struct(*rest).alias("_row"))).alias("_best"))
-    return best.select(*keys, "_best._row.*").select(*rows.columns)
+    # no column twice in what is sorted and shuffled
+    value = list(dict.fromkeys(c for c in [*order, *rows.columns] if c not in keys))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*value)).alias("_best"))
+    return best.select(*keys, "_best.*").select(*rows.columns)
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

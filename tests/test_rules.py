@@ -145,3 +145,11 @@ def test_the_inventory_scores_a_text_once(spark):
     found = C.inventory(C.documents(docs).withColumn("name", F.format_string("d%03d", "doc_id")), "name", 2)
     assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {(r["category"], r["n"], r["names"]) for r in found.collect()} == {("bank", 34, "d000,d003"), ("other", 33, "d001,d004"), ("quarantine", 33, "d002,d005")}
+
+
+def test_the_latest_row_holds_no_column_twice(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 7, "a"), (2, 1, "z")], "k long, at long, v string")
+    best = I.latest(rows, ["k"], ["k", "at"])
+    assert {tuple(r) for r in best.collect()} == {(1, 7, "b"), (2, 1, "z")}
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_row") == 0 and plan.count("struct(at, at#") == 1
