@@ -54,6 +54,9 @@ WORTH = 20
 #: One in so many texts tells common shingles from rare ones, and so many shingles at
 #: most (over two of them) are sent to all tasks as common: 16 bytes each.
 SAMPLED, COMMON = 8, 100_000
+#: Links of a task, at least, where classes are found: of two numbers each, so that few
+#: links are one task without a shuffle, whatever the number of shuffle partitions.
+LINKS = 100_000
 U = np.uint64
 
 
@@ -324,17 +327,18 @@ def _sharing_rare(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     return possible(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, threshold)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node that links (a, b) lead to, for every node in
-    one. Labels pass along links and then jump to their own label's label, so the
-    rounds grow with the logarithm of a class's reach."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+def components(links: DataFrame, n: int | None = None) -> DataFrame:
+    """``node, label``: the smallest node that links (a, b; ``n`` of them) lead to, for
+    every node in one. Labels pass along links and then jump to their own label's label,
+    so the rounds grow with the logarithm of a class's reach, and their tasks with n."""
+    parts = (links.count() if n is None else n) // LINKS + 1
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).coalesce(parts))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        step = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")).coalesce(parts))
         moved = step.where("label <> old").limit(1).count()
         labels = step.select("node", "label")
         if not moved:
@@ -388,7 +392,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # stars: each bucket's centre against the others; then, of those that are in no class
     # of their centre, a new centre against the others, as long as that finds many links
     tried = links = labels = None
-    left, first = buckets, 0
+    left, first, linked = buckets, 0, 0
     while True:
         # the node with the most company over all its bands: an original has more than its copies
         centres = left.groupBy("band").agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
@@ -400,18 +404,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         found = cut(verified(star, texts).where(F.col("similarity") >= threshold - SLACK).select("a", "b"))
         tried = star if tried is None else tried.union(star)
         n = found.count()
+        linked += n
+        found = cut(found.coalesce(n // LINKS + 1))
         links = found if links is None else links.union(found)
         if labels is not None and (not n or n * WORTH < first):
             break
         first = n if labels is None else first
-        labels = components(links)
+        labels = components(links, linked)
         own = labels.select("node", "label")
         theirs = labels.select(F.col("node").alias("centre"), F.col("label").alias("of"))
         left = starred.where("node <> centre").join(own, "node", "left").join(theirs, "centre", "left")
         left = cut(left.where(F.coalesce("label", "node") != F.coalesce("of", "centre")).select("band", "node", "company"))
 
     if n:
-        labels = components(links)
+        labels = components(links, linked)
 
     # what shares a bucket but no class
     seen = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
@@ -420,8 +426,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     both_ways = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut(_sharing_rare(rest.join(texts.select("node", "t"), "node"), texts, threshold).join(both_ways, ["a", "b"], "left_anti"))
     second = cut(verified(more, texts).where(F.col("similarity") >= threshold - SLACK).select("a", "b"))
-    if second.limit(1).count():
-        labels = components(links.union(second))
+    n = second.count()
+    if n:
+        labels = components(links.union(second.coalesce(n // LINKS + 1)), linked + n)
     drop(spark, at)
 
     own = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"), F.size("bands").alias("n"))

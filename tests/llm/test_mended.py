@@ -74,3 +74,27 @@ def test_a_bitmap_loses_no_node(spark):
     got = [r["node"] for r in neardup.among(everything, df).collect()]
     assert set(nodes) <= set(got) and len(got) < len(nodes) + 20
     assert neardup.among(everything, df.limit(0)).count() == 0
+
+
+def test_few_links_are_few_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-(2**40), 2**40, (400, 2))]
+    pairs += [(i, i + 1) for i in range(0, 90)] + [(-7, -1000 - i) for i in range(300)] + [(a, b + 1) for (a, _), (b, _) in zip(pairs[:50], pairs[50:100], strict=True)]
+    smallest: dict[int, int] = {x: x for p in pairs for x in p}
+    while any(smallest[a] != smallest[b] for a, b in pairs):
+        for a, b in pairs:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(12)
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(key, value)
+    try:
+        few = neardup.components(links)
+        assert few.rdd.getNumPartitions() == 1
+        assert {r["node"]: r["label"] for r in few.collect()} == smallest
+        monkeypatch.setattr(neardup, "LINKS", 250)
+        more = neardup.components(links)
+        assert 1 < more.rdd.getNumPartitions() < 16
+        assert {r["node"]: r["label"] for r in more.collect()} == smallest
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
