@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from .common import map_batches, text_of
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 600_000
 ORDER = 5
 #: Words that a task remembers the scores of, and the characters of the longest one.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: The quantile of a language's own excesses, and the limit's place between it and strangers.
 OWN, MARGIN = 0.98, 0.75
 #: Characters from which on a text's length makes its limit no tighter.
@@ -319,13 +318,6 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return learn(texts) if texts else Model([], [], [], [], [], 0.0, np.zeros((0, 2)), 1.0)
 
 
-@lru_cache(maxsize=1)
-def _scorer(blob: bytes) -> Scorer:
-    import pickle
-
-    return Scorer(pickle.loads(blob))
-
-
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """``key, held_out, lang_pred, score, accepted`` for every row; with ``keep`` the
     whole row of ``docs`` as the struct ``row`` in place of ``key``."""
@@ -333,14 +325,18 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.col(key)
-    only = docs.select(carried.alias("k"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), text_of(docs, text).alias("t"))
+    # a row that is carried has its text, which is not sent twice
+    place = docs.columns.index(text) if keep and dict(docs.dtypes).get(text) == "string" else None
+    only = docs.select(carried.alias("k"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), *([text_of(docs, text).alias("t")] if place is None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent.value)
+        # of this task: what a worker keeps would take room beside all that runs after
+        scorer = Scorer(pickle.loads(sent.value))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                said = list(zip(*scorer.predict(part.column(2).to_pylist()), strict=True))
+                texts = part.column(2) if place is None else part.column(0).field(place)
+                said = list(zip(*scorer.predict([t or "" for t in texts.to_pylist()]), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, kind) for x, kind in zip(said, (pa.string(), pa.float64(), pa.bool_()), strict=True))], names=["k", "held_out", "lang_pred", "score", "accepted"])
 
     carried_type = only.schema["k"].dataType.simpleString()

@@ -1,6 +1,9 @@
 """Kneser-Ney models as distributions, rejection, and the cases of language ID."""
 
+import gc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +65,28 @@ def test_long_words_are_not_remembered(model):
     first = list(scorer.entropies(["word " + "abc" * 100]))
     again = list(scorer.entropies(["more words here", "word " + "abc" * 100]))[1]
     assert np.allclose(first[0][0], again[0]) and max(map(len, scorer.known)) <= language.LONGEST
+
+
+def test_no_model_stays_in_a_worker_once_its_task_ended(spark, docs, model):
+    language.predict(docs, model).collect()
+
+    def held(batches):
+        n = [sum(type(x).__name__ == "Scorer" for x in gc.get_objects()) for _ in batches]
+        yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64())})
+
+    found = [r["n"] for r in spark.range(64).repartition(8).mapInArrow(held, "n long").collect()]
+    assert found and not any(found)
+
+
+@pytest.mark.parametrize("text", ["string", "binary"])
+def test_a_carried_row_is_judged_by_its_own_text(spark, docs, model, text):
+    rows = docs.select("doc_id", "text", "lang").limit(300).union(spark.createDataFrame([(-1, None, "x"), (-2, "", None), (None, "12 !?", "x")], "doc_id long, text string, lang string"))
+    rows = rows.withColumn("text", F.col("text").cast(text)).cache()
+    said = ["held_out", "lang_pred", "score", "accepted"]
+    plain = language.predict(rows, model).select("doc_id", *said)
+    kept = language.predict(rows, model, keep=True)
+    assert kept.select("row.*").exceptAll(rows).count() == 0 == rows.exceptAll(kept.select("row.*")).count()
+    assert kept.select("row.doc_id", *said).exceptAll(plain).count() == 0 == plain.exceptAll(kept.select("row.doc_id", *said)).count()
+    # the text is sent once where it needs no cast
+    sent = kept._jdf.queryExecution().analyzed().toString().partition("MapInArrow")[2].split("\n")[1]
+    assert (" AS t#" in sent) == (text == "binary")
