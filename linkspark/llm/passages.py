@@ -21,8 +21,12 @@ Four steps do this:
 3. Each block sends its different stretches with those hashes. A hash that has more
    than COMMON places, such as that of a common phrase, is split: its strings of K
    bytes go by a hash of their own, so that no range holds a frequent hash's contexts.
-4. A range builds the transform of its stretches, finds the smallest id that has each
-   string, and answers each block with the bytes to remove.
+4. A range leaves out the strings that no other document of it can have: the smallest
+   hash's substring and SIDE bytes on one side of it, which every string holds on its
+   left or on its right, are in one document alone. These are most of those that share
+   no more than a hash, whose part grows with the corpus. It builds the transform of
+   what is left of its stretches, finds the smallest id that has each string, and
+   answers each block with the bytes to remove.
 
 Ranges and blocks have a bounded size whatever the corpus, for their number follows
 its size. Equal stretches of a block are sent once.
@@ -40,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +52,12 @@ from .common import map_batches, new_path, ship, table, text_of
 
 K, M = 50, 16
 #: Bytes of text in a block, in a range of hashes, in a range of stretches, in a piece.
-BLOCK, HASHES, STRETCHES, PIECE = 4 << 20, 32 << 20, 5 << 18, 1 << 20
+BLOCK, HASHES, STRETCHES, PIECE = 4 << 20, 32 << 20, 5 << 19, 1 << 20
 COMMON = 4096
+#: Of the K - M bytes of a string around its substring of M, one side holds so many.
+SIDE = (K - M) // 2
+#: In place of the substring's place, for a string that goes by a hash of its own.
+ALONE = 255
 #: No UTF-8 text holds this byte: it stands between stretches.
 END = 0xFF
 LAST = 2**63 - 1
@@ -154,28 +163,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - _BITS)
 
 
-def minima(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lowest(hashes: np.ndarray, start: int) -> np.ndarray:
+    """For each string of K bytes its smallest hash and, in the last 16 bits, where the
+    first of those is, with places counted from ``start``."""
+    x = (hashes << np.uint64(16)) | (np.arange(start, start + len(hashes), dtype=np.uint64) & np.uint64(0xFFFF))
+    width, wide = 1, K - M + 1
+    n = len(hashes) - wide + 1
+    while 2 * width <= wide:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[:n], x[wide - width :][:n]) if width < wide else x
+
+
+def minima(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of the strings of K bytes that start at ``valid`` places: first place,
-    number of strings, and smallest hash; last, the eight bytes from each place."""
+    number of strings, smallest hash, and where in the stretch the substring with it is
+    (in equal strings at the same place); last, the eight bytes from each place."""
     eights = _eights(data)
     n = len(data) - K + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), eights[:0], eights
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), eights[:0], np.zeros(0, np.uint8), eights
     hashes = _mixed(eights[: n + K - M] * _MUL[0] ^ eights[M // 2 :][: n + K - M] * _MUL[1])
-    x = (hashes << np.uint64(16)) | (np.arange(len(hashes), dtype=np.uint64) & np.uint64(0xFFFF))
-    width, wide = 1, K - M + 1
-    while 2 * width <= wide:
-        x = np.minimum(x[:-width], x[width:])
-        width *= 2
-    if width < wide:
-        x = np.minimum(x[: n], x[wide - width :][:n])
+    x = _lowest(hashes, 0)
+    # around each place where 16 bits start anew, the first is found by other numbers
+    half = 1 << 15
+    for turn in range(1 << 16, n + K - M, 1 << 16):
+        a, b = turn - (K - M), min(turn, n)
+        if a < b:
+            y = _lowest(hashes[a : b + K - M], a + half)
+            x[a:b] = (y >> np.uint64(16) << np.uint64(16)) | ((y + np.uint64(half)) & np.uint64(0xFFFF))
     ok = valid[:n]
     new = ok.copy()
     new[1:] &= (x[1:] != x[:-1]) | ~ok[:-1]
     first = np.flatnonzero(new)
     ends = np.flatnonzero(ok & ~np.concatenate([ok[1:] & ~new[1:], [False]]))
     # smallest hashes are small ones: mixed again, they spread over the ranges
-    return first, ends - first + 1, _mixed((x[first] >> np.uint64(16)) * _MUL[1]), eights
+    spot = ((x[first].astype(np.int64) - first) & 0xFFFF).astype(np.uint8)
+    return first, ends - first + 1, _mixed((x[first] >> np.uint64(16)) * _MUL[1]), spot, eights
 
 
 def pieces_of(texts: pa.Array, skip: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -229,14 +253,27 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Values that follow each other as one binary value for so many each: blocks and ranges
+    meet in pairs, whose number grows with the square of the corpus, so no pair is looped over."""
+    return _binary(np.ascontiguousarray(values).view(np.uint8), counts * values.itemsize).cast(pa.binary())
+
+
+def _joined(group: pa.Table, name: str, kind) -> np.ndarray:
+    """The values of a binary column, one after the other."""
+    column = group.column(name)
+    parts = [data[offsets[0] : offsets[-1]] for data, offsets in map(_buffer, column.chunks) if len(offsets) > 1]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)).view(kind)
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     """Hashes as six bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _long(six: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six.view(np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
 
 
@@ -295,16 +332,15 @@ def copies_of(texts: DataFrame) -> DataFrame:
     return found.select("block", F.lit(COPIES).alias("kind"), to_bytes("places").alias("a"), F.lit(None).cast("binary").alias("b"))
 
 
-def _notes(right: pa.Table, kind: int) -> list[tuple[bytes, bytes]]:
-    return [(a, b) for k, a, b in zip(*(right.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True) if k == kind]
+def _notes(right: pa.Table, kind: int) -> pa.Table:
+    return right.filter(pa.array(right.column("kind").to_numpy() == kind))
 
 
 def _block(left: pa.Table, right: pa.Table):
     """Rows of a block by place, and which of them are whole copies."""
     left = left.sort_by("place")
-    copied = b"".join(a for a, _ in _notes(right, COPIES))
     places = left.column("place").to_numpy()
-    skip = np.isin(places, np.frombuffer(copied, ">i8"))
+    skip = np.isin(places, _joined(_notes(right, COPIES), "a", ">i8"))
     texts = left.column("t").combine_chunks() if left.num_rows else pa.array([], pa.string())
     ids = left.column("id").fill_null(LAST).to_numpy()
     return left, texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, ids, places, skip
@@ -319,7 +355,7 @@ def _hashes(left: pa.Table, right: pa.Table, ranges: int) -> pa.Table:
     found = []
     _, texts, ids, _, skip = _block(left, right)
     for data, valid, row, _ in pieces_of(texts, skip):
-        first, _, h, _ = minima(data, valid)
+        first, _, h, *_ = minima(data, valid)
         found.append((h, ids[row[first]]))
     if not found:
         return pa.table({"range": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
@@ -333,49 +369,41 @@ def _hashes(left: pa.Table, right: pa.Table, ranges: int) -> pa.Table:
     of = _range(h, ranges)
     s, e = _cuts(of)
     block = left.column("block")[0].as_py()
-    six, two = _short(h), times.view(np.uint8)
-    return pa.table({
-        "range": pa.array(of[s]), "block": pa.array(np.full(len(s), block)),
-        "a": pa.array([six[6 * i : 6 * j].tobytes() for i, j in zip(s, e, strict=True)], pa.binary()),
-        "b": pa.array([two[2 * i : 2 * j].tobytes() for i, j in zip(s, e, strict=True)], pa.binary()),
-    })
+    return pa.table({"range": pa.array(of[s]), "block": pa.array(np.full(len(s), block)), "a": _packed(_short(h), e - s), "b": _packed(times, e - s)})
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """Of a range's hashes, those that several documents have, for each block that has
     them, and whether they are common."""
-    blocks = group.column("block").to_pylist()
-    parts = [_long(a) for a in group.column("a").to_pylist()]
-    h = np.concatenate(parts)
-    times = np.frombuffer(b"".join(group.column("b").to_pylist()), "<u2").astype(np.int64)
+    h, times = _long(_joined(group, "a", "V6")), _joined(group, "b", "<u2").astype(np.int64)
     order = np.argsort(h, kind="stable")
     start, end = _cuts(h[order])
     several = (end - start > 1) | np.bitwise_or.reduceat(times[order] & 1, start).astype(bool)
     common = np.add.reduceat(times[order] >> 1, start) > COMMON
     keep, often = np.empty(len(h), bool), np.empty(len(h), bool)
     keep[order], often[order] = np.repeat(several, end - start), np.repeat(common, end - start)
-    cut = np.cumsum([len(p) for p in parts])[:-1]
-    rows = [(b, _short(p[k]).tobytes(), o[k].astype(np.uint8).tobytes()) for b, p, k, o in zip(blocks, parts, np.split(keep, cut), np.split(often, cut), strict=True) if k.any()]
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array(np.full(len(rows), SHARED, np.int32)), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary())})
+    each = pc.binary_length(group.column("b")).to_numpy().astype(np.int64) // 2
+    kept = np.add.reduceat(keep, np.cumsum(each) - each, dtype=np.int64)
+    blocks, kept = group.column("block").to_numpy()[kept > 0], kept[kept > 0]
+    return pa.table({"block": pa.array(blocks), "kind": pa.array(np.full(len(blocks), SHARED, np.int32)), "a": _packed(_short(h[keep]), kept), "b": _packed(often[keep].astype(np.uint8), kept)})
 
 
-SENT = "range long, block long, strings binary, sizes binary, times binary, rows binary, starts binary, ids binary"
+SENT = "range long, block long, strings binary, sizes binary, spots binary, times binary, rows binary, starts binary, ids binary"
 
 
 def _stretches(left: pa.Table, right: pa.Table, ranges: int) -> pa.Table:
     """The different stretches of a block whose hash is shared, with their places."""
     _, texts, ids, places, skip = _block(left, right)
     notes = _notes(right, SHARED)
-    shared = np.concatenate([_long(a) for a, _ in notes]) if notes else np.zeros(0, np.uint64)
-    often = np.frombuffer(b"".join(b for _, b in notes), np.uint8).astype(bool)
+    shared, often = _long(_joined(notes, "a", "V6")), _joined(notes, "b", np.uint8).astype(bool)
     order = np.argsort(shared)
     shared, often = shared[order], often[order]
     out = []
     for data, valid, row, at in pieces_of(texts, skip) if len(shared) else ():
-        first, counts, h, eights = minima(data, valid)
+        first, counts, h, inner, eights = minima(data, valid)
         spot = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
         held = shared[spot] == h
-        first, counts, h, many = first[held], counts[held], h[held], often[spot[held]]
+        first, counts, h, inner, many = first[held], counts[held], h[held], inner[held], often[spot[held]]
         # strings of a common hash go one by one
         single = np.repeat(first[many] - (np.cumsum(counts[many]) - counts[many]), counts[many]) + np.arange(counts[many].sum())
         own = np.zeros(len(single), np.uint64)
@@ -385,11 +413,12 @@ def _stretches(left: pa.Table, right: pa.Table, ranges: int) -> pa.Table:
         first = np.concatenate([first[~many], single])
         sizes = np.concatenate([counts[~many] + K - 1, np.full(len(single), K)])
         h = np.concatenate([h[~many], _mixed(own)])
-        out.append((_gathered(data, first, sizes, False), sizes, h, row[first], at[first]))
+        inner = np.concatenate([inner[~many], np.full(len(single), ALONE, np.uint8)])
+        out.append((_gathered(data, first, sizes, False), sizes, inner, h, row[first], at[first]))
     names = [x.split()[0] for x in SENT.split(", ")]
     if not out or not sum(len(x[1]) for x in out):
         return pa.table({n: pa.array([], pa.int64() if i < 2 else pa.binary()) for i, n in enumerate(names)})
-    data, sizes, h, row, at = (np.concatenate(x) for x in zip(*out, strict=True))
+    data, sizes, inner, h, row, at = (np.concatenate(x) for x in zip(*out, strict=True))
     kind = _binary(data, sizes).dictionary_encode()
     code = kind.indices.to_numpy()
     order = np.lexsort((code, _range(h, ranges)))
@@ -399,20 +428,45 @@ def _stretches(left: pa.Table, right: pa.Table, ranges: int) -> pa.Table:
     of = _range(h[lead], ranges)
     a, b = _cuts(of)
     block = left.column("block")[0].as_py()
-    packed = {n: [] for n in names[2:]}
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        own, every = lead[i:j], order[s[i] : e[j - 1]]
-        packed["strings"].append(_gathered(data, strings[own], sizes[own], False).tobytes())
-        packed["sizes"].append(sizes[own].astype(np.uint8).tobytes())
-        packed["times"].append((e[i:j] - s[i:j]).astype("<i4").tobytes())
-        packed["rows"].append(places[row[every]].astype("<i8").tobytes())
-        packed["starts"].append(at[every].astype("<i4").tobytes())
-        packed["ids"].append(ids[row[every]].astype("<i8").tobytes())
-    return pa.table({"range": pa.array(of[a]), "block": pa.array(np.full(len(a), block))} | {n: pa.array(x, pa.binary()) for n, x in packed.items()})
-
-
-def _joined(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+    places_of, of_range = e - s, [pa.array(of[a]), pa.array(np.full(len(a), block))]
+    entries = np.add.reduceat(places_of, a)
+    own = [
+        _packed(_gathered(data, strings[lead], sizes[lead], False), np.add.reduceat(sizes[lead], a)),
+        _packed(sizes[lead].astype(np.uint8), b - a), _packed(inner[lead], b - a), _packed(places_of.astype("<i4"), b - a),
+        _packed(places[row[order]].astype("<i8"), entries), _packed(at[order].astype("<i4"), entries), _packed(ids[row[order]].astype("<i8"), entries),
+    ]
+    return pa.table([*of_range, *own], names=names)
+
+
+def candidates(strings: np.ndarray, start: np.ndarray, spots: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings of K bytes of different stretches, from one to before another, may be
+    in several documents: ``counts`` strings at ``start``, the substring with the smallest
+    hash at ``spots``, smallest and largest id ``low`` and ``high``. Equal strings have
+    that substring at the same place, so they share it with SIDE bytes on its left, if
+    there are so many, or else on its right."""
+    alone = spots == ALONE
+    left = np.where(alone, 0, np.clip(spots.astype(np.int64) - SIDE + 1, 0, counts))
+    eights = _eights(strings)
+
+    def several(which: np.ndarray, back: int) -> np.ndarray:
+        """Whether the M + SIDE bytes that begin so far before the substring are."""
+        out = np.zeros(len(counts), bool)
+        own = np.flatnonzero(which & ~alone)
+        if len(own):
+            at = start[own] + spots[own] - back
+            key = np.zeros(len(own), np.uint64)
+            for i in (*range(0, M + SIDE - 8, 8), M + SIDE - 8):
+                key = (key ^ eights[at + i]) * _MUL[0]
+                key ^= key >> np.uint64(31)
+            order = np.argsort(key)
+            s, e = _cuts(key[order])
+            least, most = np.minimum.reduceat(low[own[order]], s), np.maximum.reduceat(high[own[order]], s)
+            out[own[order]] = np.repeat(least != most, e - s)
+        return out
+
+    lower, upper = several(left > 0, SIDE), several(left < counts, 0)
+    upper |= alone & (low != high)  # equal strings that go alone are one stretch
+    return np.where(lower, 0, left), np.where(upper, counts, left)
 
 
 def _repeated(group: pa.Table) -> pa.Table:
@@ -422,16 +476,23 @@ def _repeated(group: pa.Table) -> pa.Table:
     starts, ids = _joined(group, "starts", "<i4").astype(np.int64), _joined(group, "ids", "<i8")
     rows = _joined(group, "rows", "<i8")
     strings = _joined(group, "strings", np.uint8)
-    each = np.array([len(x) for x in group.column("sizes").to_pylist()])
+    each = pc.binary_length(group.column("sizes")).to_numpy().astype(np.int64)
     code = _binary(strings, sizes).dictionary_encode().indices.to_numpy()
-    least = np.minimum.reduceat(ids, np.cumsum(times) - times)
+    least, most = (f.reduceat(ids, np.cumsum(times) - times) for f in (np.minimum, np.maximum))
     by_code = np.argsort(code, kind="stable")
     s, _ = _cuts(code[by_code])
     lead = by_code[s]  # code 0, 1, ... of the different stretches
     counts = sizes[lead] - K + 1
-    data = _gathered(strings, (np.cumsum(sizes) - sizes)[lead], sizes[lead], True)
-    first = smallest_ids(data, np.minimum.reduceat(least[by_code], s), counts, sizes[lead])
     begin = np.cumsum(counts) - counts
+    low, start = np.minimum.reduceat(least[by_code], s), (np.cumsum(sizes) - sizes)[lead]
+    a, b = candidates(strings, start, _joined(group, "spots", np.uint8)[lead], counts, low, np.maximum.reduceat(most[by_code], s))
+    own = np.flatnonzero(a < b)
+    first = np.full(counts.sum(), LAST, np.int64)
+    if len(own):
+        few = (b - a)[own]
+        data = _gathered(strings, (start + a)[own], few + K - 1, True)
+        at = np.repeat((begin + a)[own] - (np.cumsum(few) - few), few) + np.arange(few.sum())
+        first[at] = smallest_ids(data, low[own], few, few + K - 1)
     entry = np.repeat(np.arange(len(sizes)), times)
     # a flag for each place's strings, with a false one after the last
     n = counts[code[entry]]
@@ -446,10 +507,9 @@ def _repeated(group: pa.Table) -> pa.Table:
     place = np.searchsorted(base, a, "right") - 1
     spans = np.stack([rows[place], starts[place] + a - base[place], starts[place] + b - base[place] + K - 1], 1).astype("<i8")
     row = np.repeat(np.arange(len(each)), each)[entry[place]]
-    blocks = group.column("block").to_pylist()
     i, j = _cuts(row)
-    found = [(blocks[row[x]], spans[x:y].tobytes()) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-    return pa.table({"block": pa.array([b for b, _ in found], pa.int64()), "kind": pa.array(np.full(len(found), SPANS, np.int32)), "a": pa.array([x for _, x in found], pa.binary()), "b": pa.nulls(len(found), pa.binary())})
+    blocks = group.column("block").to_numpy()[row[i]]
+    return pa.table({"block": pa.array(blocks), "kind": pa.array(np.full(len(i), SPANS, np.int32)), "a": _packed(spans.ravel(), 3 * (j - i)), "b": pa.nulls(len(i), pa.binary())})
 
 
 def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -458,7 +518,7 @@ def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
     data, offsets = _buffer(texts)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     cover = np.zeros(len(data) + 1, np.int32)
-    spans = np.frombuffer(b"".join(a for a, _ in _notes(right, SPANS)), "<i8").reshape(-1, 3)
+    spans = _joined(_notes(right, SPANS), "a", "<i8").reshape(-1, 3)
     row = np.searchsorted(places, spans[:, 0])
     np.add.at(cover, offsets[row] + spans[:, 1], 1)
     np.add.at(cover, offsets[row] + spans[:, 2], -1)

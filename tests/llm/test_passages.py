@@ -129,3 +129,66 @@ def test_query(spark):
         kept = bytes(x for x, y in zip(d, g, strict=True) if not y)
         want[i] = (len(d), sum(g), len(spans(g)), hashlib.sha256(kept).hexdigest())
     assert {r[0]: tuple(r)[1:] for r in passages.op12_repeated_passages(spark, sf).collect()} == want
+
+
+def stepped(rows, ranges=5):
+    """The rows' removed spans by the steps alone, one row a block."""
+    none = pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    blocks = [pa.table({"place": [0], "block": [b], "id": [i], "n": [len(t.encode())], "t": [t]}) for b, (i, t) in enumerate(rows)]
+
+    def of(parts, name, run):
+        whole = pa.concat_tables(parts)
+        return {v: run(whole.filter(pa.array(whole.column(name).to_numpy() == v))) for v in sorted(set(whole.column(name).to_pylist()))}
+
+    def notes(parts):
+        found = of(list(parts.values()), "block", lambda t: t)
+        return [found.get(b, none) for b in range(len(blocks))]
+
+    shared = notes(of([passages._hashes(b, none, ranges) for b in blocks], "range", passages._shared))
+    found = notes(of([passages._stretches(b, n, ranges) for b, n in zip(blocks, shared, strict=True)], "range", passages._repeated))
+    kept = [passages._kept(b, n).to_pylist()[0] for b, n in zip(blocks, found, strict=True)]
+    return [(r["id"], [(s["start"], s["end"]) for s in r["spans"]]) for r in kept]
+
+
+def test_what_shares_only_a_hash_meets_no_transform(monkeypatch):
+    rnd = random.Random(3)
+    letters = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    phrase, passage = letters(24), letters(90)
+    rows = [(i, letters(200) + phrase + letters(200)) for i in range(40)]
+    rows += [(i, letters(60) + passage + letters(60)) for i in (41, 42)]
+    seen, run = [], passages.smallest_ids
+    monkeypatch.setattr(passages, "smallest_ids", lambda data, *x: (seen.append(len(data)), run(data, *x))[1])
+    want = [(i, spans(g)) for i, _, g in brute(rows)]
+    assert stepped(rows) == want and sum(len(s) for _, s in want) == 1
+    # the passage's own stretches only: the phrase's would be 40 times 50 bytes at least
+    assert 0 < sum(seen) < 2000
+
+
+def test_common_strings_in_one_document_meet_no_transform(monkeypatch):
+    monkeypatch.setattr(passages, "COMMON", 2)
+    rnd = random.Random(4)
+    letters = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    passage = letters(90)
+    rows = [(i, letters(60) + passage + letters(60)) for i in rnd.sample(range(100), 30)]
+    seen, run = [], passages.smallest_ids
+    monkeypatch.setattr(passages, "smallest_ids", lambda data, *x: (seen.append(len(data)), run(data, *x))[1])
+    want = [(i, spans(g)) for i, _, g in brute(rows)]
+    assert stepped(rows) == want
+    # 41 strings of the passage, and a few that chance makes longer; those over its edges are in one document
+    assert 0 < sum(seen) < 90 * 51
+
+
+def test_equal_strings_hold_their_substring_at_one_place():
+    rnd = np.random.default_rng(5)
+    data = rnd.integers(97, 123, 140_000).astype(np.uint8)
+    for period in (1, 2, 17, 30):
+        again = np.resize(rnd.integers(97, 123, period), 240).astype(np.uint8)
+        for place in (1000, 65536 - 120, 131072 - 90):
+            data[place : place + 240] = again
+        first, counts, h, spot, _ = passages.minima(data, np.ones(len(data), bool))
+        text, at = data.tobytes(), {}
+        assert first[0] == 0 and counts.sum() == len(data) - K + 1
+        for a, n, x, p in zip(first.tolist(), counts.tolist(), h.tolist(), spot.tolist(), strict=True):
+            for j in range(n):
+                assert 0 <= p - j <= K - passages.M
+                assert at.setdefault(text[a + j : a + j + K], (x, p - j)) == (x, p - j)
